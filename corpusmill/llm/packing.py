@@ -88,7 +88,11 @@ def best_pattern(price: np.ndarray, room: int) -> tuple[float, np.ndarray]:
 
 
 def solve(demand: dict[int, int], room: int, steps: int = 3000) -> list[tuple[np.ndarray, float]]:
-    """The linear program: patterns and how often to use each, so that every bin's demand is met exactly."""
+    """The linear program: patterns and how often to use each, so that every bin's demand is met exactly.
+
+    The basis inverse is updated in product form; plan() only ever uses what demand is left, so a rounding error in it
+    costs a little padding and no piece.
+    """
     sizes = sorted(b for b, n in demand.items() if n > 0)
     if not sizes:
         return []
@@ -96,7 +100,7 @@ def solve(demand: dict[int, int], room: int, steps: int = 3000) -> list[tuple[np
     want = np.array([demand[b] for b in sizes], float)
     basis = np.diag([float(room // b) for b in sizes])
     inverse = np.diag([1.0 / (room // b) for b in sizes])
-    for step in range(steps):
+    for _ in range(steps):
         x = inverse @ want
         dual = inverse.sum(axis=0)
         price = np.full(room + 1, -1.0)
@@ -111,12 +115,9 @@ def solve(demand: dict[int, int], room: int, steps: int = 3000) -> list[tuple[np
         if not np.isfinite(ratio[out]):
             break
         basis[:, out] = column
-        if step % 50 == 49:
-            inverse = np.linalg.inv(basis)
-        else:
-            row = inverse[out] / direction[out]
-            inverse = inverse - np.outer(direction, row)
-            inverse[out] = row
+        row = inverse[out] / direction[out]
+        inverse = inverse - np.outer(direction, row)
+        inverse[out] = row
     x = inverse @ want
     patterns = []
     for k in range(m):
