@@ -99,7 +99,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool =
         return np.zeros(0, np.uint64)
     begin, stop = int(starts[0]), int(ends[-1])
     spans = np.diff(starts, append=stop)
-    place = np.arange(begin, stop, dtype=np.int64) - np.repeat(starts, spans)
+    place = np.arange(stop - begin, dtype=np.int32) - np.repeat((starts - begin).astype(np.int32), spans)
     table = _BYTE[LOWER] if lower else _BYTE
     value = table[data[begin:stop]] * powers(int(spans.max()))[place]
     return mix(np.add.reduceat(value, starts - begin) + (ends - starts).astype(np.uint64))

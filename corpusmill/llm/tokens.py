@@ -14,7 +14,7 @@ from . import kernel
 
 DEFAULT_FILE = "word_bpe_49k.json"
 #: Units kept between batches; beyond it the cache starts anew.
-CACHE_UNITS = 1_500_000
+CACHE_UNITS = 500_000
 
 #: Classes of bytes: 0 white space, 1 letter (also 0xC3 and what follows it: Latin letters), 2 digit, 3 other, 4 odd.
 _CLASS = np.full(256, 3, np.uint8)
@@ -131,7 +131,7 @@ class WordTokenizer:
 
     def encode(self, column: pa.Array):
         """Yields (row, ids as uint32) for each text of the column in turn."""
-        for lo, hi, data, at in kernel.chunks(column, 4 * kernel.CHUNK_BYTES):
+        for lo, hi, data, at in kernel.chunks(column):
             starts, ends, plain, of = units(data, at)
             if not len(starts):
                 for row in range(lo, hi):
