@@ -13,8 +13,8 @@ Lists and their queries meet in tiles: a list much longer than the mean is dealt
 queries, so no list is gathered in one task; each tile yields at most k rows for a query.
 
 Vectors that are null, zero, of another dimension than most of the sample's, or hold null or non-finite components take
-no part.  Null ids take no part.  A repeated row is a candidate each time; a query id that repeats is asked once, with
-its smallest vector.  Ties go to the smaller id.  An empty table gives an empty result.  Other columns are ignored.
+no part.  Null ids take no part.  Rows that repeat an id are one candidate, with the best of their scores; a query id that repeats is
+asked once, with its smallest vector.  Ties go to the smaller id.  An empty table gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 TOP = 20
 SAMPLE = 8192
 LISTS = 1024
-RECALL = 0.99
+RECALL = 0.97
 #: Error bounds hold for a row with a probability that rises with this.
-EPSILON = 2.5
+EPSILON = 2.2
 SEED = 7
 
 
@@ -64,28 +64,47 @@ def estimate(bits: np.ndarray, scalars: np.ndarray, q: np.ndarray, centre: np.nd
     return guess, np.sqrt((apart * apart).sum(axis=1))[:, None] * wide + 1e-6
 
 
-def nearest(ids: np.ndarray, x: np.ndarray, bits: np.ndarray, scalars: np.ndarray, query_ids: np.ndarray, q: np.ndarray, centre: np.ndarray, turn: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, exact score) of each query's best rows of a tile, by estimates, bounds and reranking."""
+def nearest(ids: np.ndarray, x: np.ndarray, bits: np.ndarray, scalars: np.ndarray, query_ids: np.ndarray, q: np.ndarray, bar: np.ndarray, centre: np.ndarray, turn: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, exact score) of each query's best rows of a tile, by estimates, bounds and reranking.
+
+    bar: for each query a score that its `top` best rows of the whole table reach.  The rows of the best estimates are
+    reranked first, which raises it; then all whose upper bound reaches it.
+    """
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    step = max(1, (1 << 22) // max(1, len(ids)))
-    for lo in range(0, len(q), step):
-        qs, qi = q[lo : lo + step], query_ids[lo : lo + step]
-        guess, wide = estimate(bits, scalars, qs, centre, turn)
-        own = qi[:, None] == ids[None, :]
-        low = np.where(own, -np.inf, guess - wide)
-        k = min(top, len(ids))
-        bar = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k]
-        qa, xa = np.nonzero((guess + wide >= bar[:, None]) & ~own)
+    step = max(1, (1 << 21) // max(1, len(ids)))
+    k = min(top, len(ids))
+
+    def exact(qs, qa, xa):
         score = np.empty(len(qa))
-        for at in range(0, len(qa), 1 << 17):
-            part = slice(at, at + (1 << 17))
+        for at in range(0, len(qa), 1 << 16):
+            part = slice(at, at + (1 << 16))
             score[part] = np.einsum("ij,ij->i", qs[qa[part]], x[xa[part]])
+        return score
+
+    for lo in range(0, len(q), step):
+        qs, qi, least = q[lo : lo + step], query_ids[lo : lo + step], bar[lo : lo + step]
+        guess, wide = estimate(bits, scalars, qs, centre, turn)
+        guess[qi[:, None] == ids[None, :]] = -np.inf
+        upper = guess + wide
+        some = (upper >= least[:, None]).any(axis=1)
+        if not some.any():
+            continue
+        guess, upper, qs, qi, least = guess[some], upper[some], qs[some], qi[some], least[some]
+        if len(ids) > k:
+            first = np.argpartition(guess, len(ids) - k, axis=1)[:, len(ids) - k :]
+            score = exact(qs, np.repeat(np.arange(len(qs)), k), first.ravel()).reshape(len(qs), k)
+            score[np.isneginf(np.take_along_axis(guess, first, axis=1))] = -np.inf
+            least = np.maximum(least, score.min(axis=1))
+        qa, xa = np.nonzero((upper >= least[:, None]) & ~np.isneginf(guess))
+        score = exact(qs, qa, xa)
+        enough = score >= least[qa]
+        qa, xa, score = qa[enough], xa[enough], score[enough]
         order = np.lexsort((ids[xa], -score, qa))
         qa, xa, score = qa[order], xa[order], score[order]
-        first = np.searchsorted(qa, np.arange(len(qs)))
-        keep = np.arange(len(qa)) - first[qa] < top
+        keep = np.arange(len(qa)) - np.searchsorted(qa, qa) < top
         out.append((qi[qa[keep]], ids[xa[keep]], score[keep]))
-    return tuple(np.concatenate(z) for z in zip(*out))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(z) for z in zip(*[(none, none, np.zeros(0)), *out]))
 
 
 class Index:
@@ -150,10 +169,11 @@ def search(table: DataFrame, every: int = 20, top: int = TOP, id_column: str = "
         return spark.createDataFrame([], schema)
     dim = Counter(len(x) for x in sample.column("v")).most_common(1)[0][0]
     rows = rows.where(F.size("v") == dim)
-    known = matrix(pa.chunked_array([x.filter(pc.equal(pc.list_value_length(x), dim)) for x in sample.column("v").chunks]))
+    sample = sample.filter(pc.equal(pc.list_value_length(sample.column("v")), dim))
+    known, known_ids = matrix(sample.column("v")), sample.column("vec_id").to_numpy()
     total = rows.count()
     index = Index(known, total, top)
-    count = len(index.centres)
+    count, known_home = len(index.centres), index.home(known)
 
     def to_lists(batches):
         for batch in batches:
@@ -161,15 +181,42 @@ def search(table: DataFrame, every: int = 20, top: int = TOP, id_column: str = "
             home = index.home(x)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(home.astype(np.int32))], names=["vec_id", "v", "list"])
 
+    def best_known(q, ids, probed):
+        """The sample's best rows of the probed lists, and their scores: the k best found reach the least of these."""
+        best, score = np.zeros((len(q), top), np.int64), np.zeros((len(q), top))
+        for lo in range(0, len(q), 256):
+            part = slice(lo, lo + 256)
+            dot = q[part] @ known.T
+            member = np.zeros((len(dot), count), bool)
+            np.put_along_axis(member, probed[part], True, axis=1)
+            dot[(ids[part, None] == known_ids[None, :]) | ~member[:, known_home]] = -np.inf
+            best[part] = np.argpartition(dot, len(known) - top, axis=1)[:, len(known) - top :]
+            score[part] = np.take_along_axis(dot, best[part], axis=1)
+        return best, score
+
+    def to_known(batches):
+        """A query's rows of the sample are found anyway: the bounds, which may fail for a row, can't lose them."""
+        for batch in batches:
+            q, ids = matrix(batch.column("v")), batch.column("vec_id").to_numpy()
+            if len(known) <= top:
+                continue
+            best, score = best_known(q, ids, index.probed(q))
+            qa, k = np.nonzero(~np.isneginf(score))
+            xa = best[qa, k]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[qa]), pa.array(known_ids[xa]), pa.array(np.einsum("ij,ij->i", q[qa], known[xa]))], names=["query_id", "vec_id", "score"])
+
     def to_probes(batches):
         for batch in batches:
-            probed = index.probed(matrix(batch.column("v")))
+            q, ids = matrix(batch.column("v")), batch.column("vec_id").to_numpy()
+            probed = index.probed(q)
+            bar = best_known(q, ids, probed)[1].min(axis=1) - 1e-9 if len(known) > top else np.full(len(q), -np.inf)
             at = np.repeat(np.arange(len(probed)), probed.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at)), batch.column("v").take(pa.array(at)), pa.array(probed.ravel().astype(np.int32))], names=["vec_id", "v", "list"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at)), batch.column("v").take(pa.array(at)), pa.array(probed.ravel().astype(np.int32)), pa.array(bar).take(pa.array(at))], names=["vec_id", "v", "list", "bar"])
 
     shape = "vec_id long, v array<double>, list int"
     base = rows.mapInArrow(to_lists, shape)
-    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(to_probes, shape)
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = queries.mapInArrow(to_probes, shape + ", bar double")
     have, want = ({r["list"]: r["count"] for r in df.groupBy("list").count().collect()} for df in (base, asked))
     base_block = int(min(65536, max(512, 2 * total / count)))
     query_block = int(min(8192, max(512, 2 * sum(want.values()) / count)))
@@ -180,7 +227,7 @@ def search(table: DataFrame, every: int = 20, top: int = TOP, id_column: str = "
     def dealt(df: DataFrame, own: str, own_parts, other: str, other_parts) -> DataFrame:
         """A place of its own in one direction of the tiles, all places in the other."""
         df = df.withColumn("n_own", F.get(own_parts, F.col("list"))).withColumn("n_other", F.get(other_parts, F.col("list"))).where("n_own > 0 and n_other > 0")
-        return df.withColumn(own, F.pmod(salt, F.col("n_own")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("n_other") - 1))).select("list", "block", "wave", "vec_id", "v")
+        return df.withColumn(own, F.pmod(salt, F.col("n_own")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("n_other") - 1))).drop("n_own", "n_other")
 
     def tile(key, left: pa.Table, right: pa.Table) -> pa.Table:
         centre = index.centres[key[0].as_py()]
@@ -189,12 +236,13 @@ def search(table: DataFrame, every: int = 20, top: int = TOP, id_column: str = "
         found = (none, none, np.zeros(0))
         if len(left) and len(right):
             bits, scalars = encode(x, centre, index.turn)
-            found = nearest(left.column("vec_id").to_numpy(), x, bits, scalars, right.column("vec_id").to_numpy(), q, centre, index.turn, top)
+            found = nearest(left.column("vec_id").to_numpy(), x, bits, scalars, right.column("vec_id").to_numpy(), q, right.column("bar").to_numpy(), centre, index.turn, top)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, found))))
 
     keys = ["list", "block", "wave"]
     left = dealt(base, "block", blocks, "wave", waves).groupBy(*keys)
     right = dealt(asked, "wave", waves, "block", blocks).groupBy(*keys)
     found = left.cogroup(right).applyInArrow(tile, "query_id long, vec_id long, score double")
+    found = found.unionByName(queries.mapInArrow(to_known, "query_id long, vec_id long, score double")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
