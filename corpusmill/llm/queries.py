@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, html, packing, warc
+from . import ann, html, minhash, packing, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.weigh(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -30,7 +38,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_importance": op1_importance,
     "op4_rotated_codes": op4_rotated_codes,
+    "op5_minhash": op5_minhash,
     "op6_html": op6_html,
     "op7_warc": op7_warc,
     "op10_packing": op10_packing,
