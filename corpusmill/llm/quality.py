@@ -69,7 +69,7 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _sum_slices(key, table):
     total = sum(np.frombuffer(x.as_buffer(), np.int64) for c in table.column("counts").chunks for x in c)
-    return pa.table({"slice": [key[0].as_py()], "counts": [total.tobytes()]})
+    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
 def _count(batches):
