@@ -131,3 +131,27 @@ def crc_of_decimal(column_name: str):
     from pyspark.sql import functions as F
 
     return F.crc32(F.col(column_name).cast("string").cast("binary"))
+
+
+_ROLL = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BACK = np.ones(1, np.uint64)
+
+
+def rolling(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and factors from which span() has a hash of any span of the bytes."""
+    global _BACK
+    n = len(data)
+    if len(_BACK) < n + 1:
+        p = np.full(max(n + 1, 1 << 16), _INVERSE, np.uint64)
+        p[0] = 1
+        _BACK = np.cumprod(p, dtype=np.uint64)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_ROLL[data] * powers(n)[:n], dtype=np.uint64, out=sums[1:])
+    return sums, _BACK[: n + 1]
+
+
+def span(table: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of spans; equal for equal bytes wherever they are."""
+    sums, back = table
+    return mix((sums[ends] - sums[starts]) * back[starts] + ((ends - starts) * 8 + salt).astype(np.uint64))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, html, minhash, packing, quality, substrings, warc
+from . import ann, decontaminate, html, minhash, packing, quality, substrings, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.weigh(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_bm25_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
@@ -37,17 +41,23 @@ def op8_induced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance": op1_importance,
+    "op2_bm25_leaks": op2_bm25_leaks,
     "op4_rotated_codes": op4_rotated_codes,
     "op5_minhash": op5_minhash,
     "op6_html": op6_html,
     "op7_warc": op7_warc,
     "op8_induced": op8_induced,
+    "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }
 

@@ -47,18 +47,6 @@ _PIECE = np.dtype([("h", "<u8"), ("c", "<u8"), ("a", "<u4"), ("n", "<u2"), ("d",
 _PLACE = np.dtype([("h", "<u8"), ("doc", "<i8"), ("a", "<u4"), ("n", "<u2"), ("d", "<u2")])
 _SPAN = np.dtype([("a", "<u4"), ("n", "<u2"), ("d", "<u2")])
 _RUN = 60_000
-_ROLL = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
-_INVERSE = np.uint64(pow(int(kernel._BASE), -1, 1 << 64))
-_back = np.ones(1, np.uint64)
-
-
-def _down(n: int) -> np.ndarray:
-    global _back
-    if len(_back) < n:
-        p = np.full(max(n, 1 << 16), _INVERSE, np.uint64)
-        p[0] = 1
-        _back = np.cumprod(p, dtype=np.uint64)
-    return _back[:n]
 
 
 def pieces(text: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
@@ -66,9 +54,7 @@ def pieces(text: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarr
     n = len(text)
     if n < length:
         return np.zeros(0, _PIECE)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_ROLL[text] * kernel.powers(n)[:n], dtype=np.uint64, out=sums[1:])
-    down = _down(n)
+    sums, down = kernel.rolling(text)
     least = (sums[gram:] - sums[:-gram]) * down[: n - gram + 1]
     least ^= least >> np.uint64(29)
     least *= np.uint64(0xBF58476D1CE4E5B9)
