@@ -6,7 +6,7 @@ highest impact in each block.  A passage is two neighbouring runs of as many wor
 occurrence of an item lies within one.  For a passage the block maxima of its terms bound the scores of a block's items;
 postings so light that together they can't reach SLACK are left out of that bound, as in WAND, and added to it as a
 constant.  Only blocks whose bound reaches the threshold are scored in full, so all items above the threshold are found.
-Of those, an item counts as leaked if at least OVERLAP of the five-word shingles of its question and of its answer (its
+Of those, an item counts as leaked if at least OVERLAP of the five-word shingles (words without punctuation) of its question and of its answer (its
 last sentence) are in the passage.
 
 The index is built on the driver and sent with the tasks; it holds at most INDEX_BYTES of item text, and a larger
@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import kernel
+from . import kernel, storage
 
 K1, B = 1.2, 0.75
-BLOCK = 16
-THRESHOLD = 0.5
-SLACK = 0.1
+BLOCK = 4
+THRESHOLD = 0.6
+SLACK = 0.05
 OVERLAP = (80, 100)
 INDEX_BYTES = 16 << 20
 
@@ -44,10 +44,22 @@ def parts(text: str) -> tuple[str, str]:
     return (text[: cuts[-1]], text[cuts[-1] :]) if cuts else (text, "")
 
 
+_WORD = np.zeros(256, bool)
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts, and where each text's begin: runs of letters and digits, lower-cased.
+
+    Marks that a passage was pasted next to belong to no word.
+    """
+    starts, ends, of = kernel.runs(data, at, _WORD)
+    return kernel.span(kernel.rolling(kernel.LOWER[data]), starts, ends), of
+
+
 def _words(text: str) -> np.ndarray:
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    s, e, _ = kernel.words(data, np.array([0, len(data)]))
-    return kernel.hashes(data, s, e)
+    return words(data, np.array([0, len(data)]))[0]
 
 
 def _grams(words: np.ndarray, n: int = kernel.SHINGLE) -> np.ndarray:
@@ -118,16 +130,16 @@ class Index:
 
         unit, term: of the known words; follows: whether a unit and the next one are one passage's halves.
         """
-        units = len(follows)
-        key = np.unique(unit * len(self.vocabulary) + term)
-        unit, term = key // len(self.vocabulary), key % len(self.vocabulary)
+        units, width = len(follows), len(self.vocabulary)
+        # a word of a unit also belongs to the passage that begins one unit before
+        second = np.flatnonzero((unit > 0) & follows[np.maximum(unit, 1) - 1])
+        key = np.unique(np.concatenate([unit * width + term, (unit[second] - 1) * width + term[second]]))
+        passage, term = key // width, key % width
         size = self.bound_cut[term + 1] - self.bound_cut[term]
         to = np.cumsum(size)
         at = np.arange(to[-1] if len(to) else 0) - np.repeat(to - size - self.bound_cut[term], size)
-        bound = np.bincount(np.repeat(unit, size) * self.blocks + self.bound_block[at], weights=self.bound[at], minlength=units * self.blocks).reshape(units, self.blocks)
-        both = bound.copy()
-        both[:-1] += np.where(follows[:-1, None], bound[1:], 0)
-        return np.nonzero(both >= THRESHOLD - SLACK - 1e-9)
+        bound = np.bincount(np.repeat(passage, size) * self.blocks + self.bound_block[at], weights=self.bound[at], minlength=units * self.blocks)
+        return np.divmod(np.flatnonzero(bound >= THRESHOLD - SLACK - 1e-9), self.blocks)
 
     def above(self, term: np.ndarray, blocks: np.ndarray) -> list[tuple[int, float]]:
         """Items of some blocks that a passage's distinct terms score at or above the threshold, with their scores."""
@@ -151,8 +163,7 @@ def _search(index: Index):
     def run(batches):
         for batch in batches:
             for lo, hi, data, at in kernel.chunks(batch.column("text")):
-                s, e, of = kernel.words(data, at)
-                h = kernel.hashes(data, s, e)
+                h, of = words(data, at)
                 n = np.diff(of)
                 found: list[dict] = [{} for _ in range(hi - lo)]
                 if len(h) and index.items:
@@ -169,9 +180,9 @@ def _search(index: Index):
                         last = u + 1 + bool(follows[u])
                         d = int(owner[u])
                         begin = of[d] + (u - base[d]) * index.run
-                        words, memo = h[begin : min(of[d + 1], begin + (last - u) * index.run)], {}
+                        passage, memo = h[begin : min(of[d + 1], begin + (last - u) * index.run)], {}
                         for item, score in index.above(np.unique(term[cuts[u] : cuts[last]]), block[first == u]):
-                            if index.leaked(item, words, memo):
+                            if index.leaked(item, passage, memo):
                                 found[d][item] = max(score, found[d].get(item, 0.0))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -220,8 +231,11 @@ def find(docs: DataFrame, benchmark: DataFrame, most: int = INDEX_BYTES) -> Data
 
 def clean(docs: DataFrame, benchmark: DataFrame, most: int = INDEX_BYTES) -> DataFrame:
     """The documents that hold no test item, with all their columns; no shuffle."""
-    out = docs
+    out, begun = docs, False
     for index in _indexes(benchmark, most):
+        # one pass at a time: each would keep a Python process in every task
+        out = storage.save(out, "cleaned") if begun else out
+        begun = True
 
         def run(batches, search=_search(index)):
             for batch in batches:

@@ -76,23 +76,28 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and for each text where its words begin in those (one more at the end)."""
+def runs(data: np.ndarray, at: np.ndarray, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes of a class within texts, and where each text's begin (one more at the end)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    solid = ~WS[data]
-    first = at[:-1][at[:-1] < at[1:]]
-    begin = solid.copy()
-    begin[1:] &= ~solid[:-1]
-    begin[first] = solid[first]
-    last = at[1:][at[:-1] < at[1:]] - 1
-    end = solid.copy()
-    end[:-1] &= ~solid[1:]
-    end[last] = solid[last]
+    inside = solid[data]
+    filled = at[:-1] < at[1:]
+    first, last = at[:-1][filled], at[1:][filled] - 1
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1]
+    begin[first] = inside[first]
+    end = inside.copy()
+    end[:-1] &= ~inside[1:]
+    end[last] = inside[last]
     starts = np.flatnonzero(begin)
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, at)
 
 
+def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and for each text where its words begin in those (one more at the end)."""
+    return runs(data, at, ~WS)
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of each word."""
     if not len(starts):
