@@ -30,6 +30,8 @@ K = 15
 TERMS = 512
 #: A term counts whose frequencies in the two classes lie so many standard errors apart.
 APART = 4.0
+#: ... and one of which is so many times the other (half a document is added to either).
+RATIO = 4.0
 PREFIXES = (4, 5, 6)
 BLOCK = 64
 SOFT = 0.02
@@ -42,19 +44,9 @@ _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 def terms(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, term hash) of all words and their beginnings."""
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    letter = _LETTER[data]
-    begin = letter.copy()
-    begin[1:] &= ~letter[:-1]
-    first = at[:-1][at[:-1] < at[1:]]
-    begin[first] = letter[first]
-    end = letter.copy()
-    end[:-1] &= ~letter[1:]
-    end[at[1:][at[:-1] < at[1:]] - 1] = letter[at[1:][at[:-1] < at[1:]] - 1]
-    starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    starts, ends, cut = kernel.runs(data, at, _LETTER)
     table = kernel.rolling(kernel.LOWER[data])
-    of = np.searchsorted(at, starts, "right") - 1
+    of = np.repeat(np.arange(len(at) - 1), np.diff(cut))
     texts, found = [of], [kernel.span(table, starts, ends, 1)]
     for n in PREFIXES:
         long = ends - starts > n
@@ -109,49 +101,54 @@ class Vectors:
 
 
 class Index:
-    """Inverted lists by block of examples, with each block's highest weight of each coordinate."""
+    """Inverted lists over blocks of examples, with each block's highest weight of each coordinate."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], width: int):
         # like examples, those of the same heaviest coordinate and a like share of the common one, share a block
         lead = [int(c[1 + w[1:].argmax()]) if len(c) > 1 else 0 for c, w in vectors]
         order = sorted(range(len(ids)), key=lambda i: (lead[i], round(vectors[i][1][0], 2), ids[i]))
         self.ids, self.labels = ids[order], labels[order]
-        blocks = -(-len(order) // BLOCK)
-        self.highest = np.zeros((width, blocks))
-        rows, where, weight = [], [], []
-        for k, i in enumerate(order):
-            c, w = vectors[i]
-            rows.append(np.full(len(c), k))
-            where.append(c)
-            weight.append(w)
-        rows, where, weight = (np.concatenate(x) if x else np.zeros(0) for x in (rows, where, weight))
-        np.maximum.at(self.highest, (where.astype(int), rows.astype(int) // BLOCK), weight)
-        key = (rows.astype(np.int64) // BLOCK) * width + where.astype(np.int64)
-        order = np.argsort(key, kind="stable")
-        self.row, self.weight = rows[order].astype(np.int64) % BLOCK, weight[order]
-        self.cut = np.searchsorted(key[order], np.arange(blocks * width + 1))
-        self.width, self.memo = width, {}
-
-    def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int = K, without: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, labels, cosines) of the k nearest examples, but for the one of id `without`."""
+        self.blocks = -(-len(order) // BLOCK)
+        row = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
+        where = np.concatenate([vectors[i][0] for i in order]).astype(np.int64)
+        weight = np.concatenate([vectors[i][1] for i in order])
+        self.highest = np.zeros((width, self.blocks))
+        np.maximum.at(self.highest, (where, row // BLOCK), weight)
+        # a list is in order of blocks
+        order = np.lexsort((row, where))
+        self.row, self.weight = row[order], weight[order]
+        self.cut = np.searchsorted(where[order], np.arange(width + 1))
+
+    def _scores(self, c: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of some blocks (a mask)."""
+        total = np.zeros(len(self.ids))
+        for x, y in zip(c.tolist(), w.tolist()):
+            row, weight = self.row[self.cut[x] : self.cut[x + 1]], self.weight[self.cut[x] : self.cut[x + 1]]
+            some = blocks[row // BLOCK]
+            total[row[some]] += y * weight[some]
+        rows = np.flatnonzero(np.repeat(blocks, BLOCK)[: len(self.ids)])
+        return rows, np.round(total[rows], 12)
+
+    def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, labels, cosines) of the k nearest examples.
+
+        The blocks of the highest bounds come first; after them only those whose bound reaches the k-th best so far.
+        """
         c, w = vector
         bound = w @ self.highest[c]
-        best: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if len(best) == k and bound[b] < -best[-1][0] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for x, y in zip(c.tolist(), w.tolist()):
-                lo, hi = self.cut[b * self.width + x], self.cut[b * self.width + x + 1]
-                score[self.row[lo:hi]] += y * self.weight[lo:hi]
-            size = min(BLOCK, len(self.ids) - b * BLOCK)
-            score = score[:size]
-            ids = self.ids[b * BLOCK : b * BLOCK + size]
-            least = -best[-1][0] if len(best) == k else -1.0
-            best += [(-round(float(score[i]), 12), int(ids[i]), int(self.labels[b * BLOCK + i])) for i in np.flatnonzero(score >= least - 1e-12) if ids[i] != without]
-            best.sort()
-            del best[k:]
-        return np.array([x[1] for x in best], np.int64), np.array([x[2] for x in best]), np.array([-x[0] for x in best])
+        first = np.zeros(self.blocks, bool)
+        first[np.argpartition(-bound, min(3, self.blocks - 1))[:4]] = True
+        rows, score = self._scores(c, w, first)
+        least = np.partition(score, len(score) - k)[len(score) - k] if len(score) >= k else -np.inf
+        rest = ~first & (bound >= least - 1e-9)
+        if rest.any():
+            more, other = self._scores(c, w, rest)
+            rows, score = np.concatenate([rows, more]), np.concatenate([score, other])
+        if len(score) > k:
+            keep = score >= np.partition(score, len(score) - k)[len(score) - k]
+            rows, score = rows[keep], score[keep]
+        best = np.lexsort((self.ids[rows], -score))[:k]
+        return self.ids[rows[best]], self.labels[rows[best]], score[best]
 
 
 def share(labels: np.ndarray, cosines: np.ndarray, stands_for: np.ndarray) -> float:
@@ -224,7 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model | flo
     counted = sample.mapInArrow(_frequencies, "term long, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("clean + toxic >= 3")
     p = (F.col("clean") / n0 + F.col("toxic") / n1) / 2
     apart = F.abs(F.col("toxic") / n1 - F.col("clean") / n0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n0 + 1 / n1))
-    chosen = counted.withColumn("apart", apart).where(F.col("apart") >= APART).orderBy(F.desc("apart"), "term").limit(TERMS).collect()
+    ratio = (F.col("toxic") + 0.5) / n1 / ((F.col("clean") + 0.5) / n0)
+    chosen = counted.withColumn("apart", apart).where((F.col("apart") >= APART) & (F.greatest(ratio, 1 / ratio) >= RATIO)).orderBy(F.desc("apart"), "term").limit(TERMS).collect()
     term = np.array([r["term"] for r in chosen], np.int64).view(np.uint64)
     # both classes weigh the same: how rare a term is doesn't depend on how the sample was drawn
     idf = np.array([np.log(2 / (r["clean"] / n0 + r["toxic"] / n1 + 1e-3)) + 1 for r in chosen], float)
