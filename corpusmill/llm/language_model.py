@@ -192,12 +192,12 @@ def score(docs: DataFrame) -> DataFrame:
         share = min(1.0, 1.05 * wanted / documents)
         picked = training.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
         shards = max(1, int(wanted // SHARD))
-        dealt = picked.select(F.pmod(F.xxhash64(F.lit("shard"), "doc_id", "text"), F.lit(shards)).alias("shard"), "text")
+        dealt = picked.select(F.pmod(F.xxhash64(F.lit("shard"), "doc_id", "text"), F.lit(shards)).alias("shard"), "text").repartition(shards, "shard")
         for _ in range(ROUNDS):
             found = dealt.groupBy("shard").applyInArrow(_train(words, model), "weight double, model binary")
             # parameters are of one size, and are summed where they are
             size = len(gru.pack(model))
-            parts = found.mapInArrow(_partial_sum(size), "weight double, model binary").coalesce(1).mapInArrow(_partial_sum(size), "weight double, model binary").collect()
+            parts = found.mapInArrow(_partial_sum(size), "weight double, model binary").repartition(1).mapInArrow(_partial_sum(size), "weight double, model binary").collect()
             if parts and parts[0]["weight"]:
                 mean = (np.frombuffer(parts[0]["model"], "<f8") / parts[0]["weight"]).astype("<f4")
                 model = gru.unpack(mean.tobytes(), model)
