@@ -162,7 +162,7 @@ class Index:
 def _search(index: Index):
     def run(batches):
         for batch in batches:
-            for lo, hi, data, at in kernel.chunks(batch.column("text")):
+            for lo, hi, data, at in kernel.chunks(batch.column("text"), kernel.ROLLING_BYTES):
                 h, of = words(data, at)
                 n = np.diff(of)
                 found: list[dict] = [{} for _ in range(hi - lo)]

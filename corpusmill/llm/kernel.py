@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 4 << 20
+#: For work with rolling sums, of which a byte takes 16.
+ROLLING_BYTES = 1 << 20
 SHINGLE = 5
 
 WS = np.zeros(256, bool)

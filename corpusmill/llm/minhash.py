@@ -203,7 +203,8 @@ def links(docs: DataFrame, k: int = K, run: int = RUN) -> tuple[DataFrame, DataF
     sizes = loose.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
     sizes = sizes.withColumn("blocks", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("s") * 8 / BLOCK_BYTES)).cast("int")).select("cluster", "blocks")
     dealt = loose.join(sizes, "cluster").select("id", "cluster", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    whole = texts.withColumnRenamed("doc_id", "id").join(dealt, "id").select("id", "cluster", "block", "blocks", "text").mapInArrow(_whole, "id long, cluster long, block int, blocks int, shingles binary")
+    # the texts are dealt by id at every size: a join that sends the smaller side to all would be one at small sizes only
+    whole = texts.withColumnRenamed("doc_id", "id").join(dealt.hint("merge"), "id").select("id", "cluster", "block", "blocks", "text").mapInArrow(_whole, "id long, cluster long, block int, blocks int, shingles binary")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     tiles = whole.withColumn("pair", F.explode(pairs)).select("cluster", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "block", "id", "shingles")
     near = tiles.groupBy("cluster", "i", "j").applyInArrow(_tile, "a long, b long")
@@ -225,4 +226,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without those that a document of a smaller id stands for; of rows with one id, all stay."""
     _, linked = links(docs)
     gone = linked.where("component <> id").select(F.col("id").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, html, language_model, minhash, packing, quality, substrings, toxicity, warc
+from . import ann, decontaminate, html, language_model, minhash, packing, quality, storage, substrings, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    storage.bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -8,8 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows in an Arrow batch: whole texts are in it, and a task has several batches in memory at once.
+BATCH_ROWS = 2_000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's default, unless the session sets its own number."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_root(spark: SparkSession) -> str:
     """The cluster's shared folder; where none is set (as in tests), a new local one is set and used."""
+    bounded(spark)
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.corpusmill.dir", None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="corpusmill-")

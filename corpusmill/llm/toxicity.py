@@ -59,7 +59,7 @@ def _frequencies(batches):
     """(term, documents of label 0, of label 1) of each batch."""
     for batch in batches:
         label = batch.column("label").to_numpy(zero_copy_only=False)
-        for lo, hi, data, at in kernel.chunks(batch.column("text")):
+        for lo, hi, data, at in kernel.chunks(batch.column("text"), kernel.ROLLING_BYTES):
             of, h = terms(data, at)
             order = np.lexsort((of, h))
             of, h = of[order], h[order]
@@ -230,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model | flo
 
     def featured(batches):
         for batch in batches:
-            for lo, hi, data, at in kernel.chunks(batch.column("text")):
+            for lo, hi, data, at in kernel.chunks(batch.column("text"), kernel.ROLLING_BYTES):
                 c, w = zip(*vectors.of(data, at))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("label").slice(lo, hi - lo), pa.array(list(c), pa.list_(pa.int64())), pa.array(list(w), pa.list_(pa.float64()))], names=["doc_id", "label", "at", "weight"])
 
@@ -264,7 +264,7 @@ def score(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> DataFrame
 
         def run(batches):
             for batch in batches:
-                for lo, hi, data, at in kernel.chunks(batch.column("text")):
+                for lo, hi, data, at in kernel.chunks(batch.column("text"), kernel.ROLLING_BYTES):
                     p, near = zip(*(model.score(v) for v in model.vectors.of(data, at)))
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(p, pa.float64()), pa.array(near, pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
