@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from corpusmill.plans import corpus, dialogue, records
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = corpus.QUERIES | records.QUERIES | dialogue.QUERIES
+ORACLE_SQL: dict[str, str] = corpus.ORACLE_SQL | records.ORACLE_SQL | dialogue.ORACLE_SQL
