@@ -27,6 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import kernel
+
 TOP = 20
 SAMPLE = 8192
 LISTS = 1024
@@ -214,9 +216,9 @@ def search(table: DataFrame, every: int = 20, top: int = TOP, id_column: str = "
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at)), batch.column("v").take(pa.array(at)), pa.array(probed.ravel().astype(np.int32)), pa.array(bar).take(pa.array(at))], names=["vec_id", "v", "list", "bar"])
 
     shape = "vec_id long, v array<double>, list int"
-    base = rows.mapInArrow(to_lists, shape)
+    base = rows.mapInArrow(kernel.freed(to_lists), shape)
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = queries.mapInArrow(to_probes, shape + ", bar double")
+    asked = queries.mapInArrow(kernel.freed(to_probes), shape + ", bar double")
     have, want = ({r["list"]: r["count"] for r in df.groupBy("list").count().collect()} for df in (base, asked))
     base_block = int(min(65536, max(512, 2 * total / count)))
     query_block = int(min(8192, max(512, 2 * sum(want.values()) / count)))
@@ -229,7 +231,7 @@ def search(table: DataFrame, every: int = 20, top: int = TOP, id_column: str = "
         df = df.withColumn("n_own", F.get(own_parts, F.col("list"))).withColumn("n_other", F.get(other_parts, F.col("list"))).where("n_own > 0 and n_other > 0")
         return df.withColumn(own, F.pmod(salt, F.col("n_own")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("n_other") - 1))).drop("n_own", "n_other")
 
-    def tile(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def tile(key, left, right):
         centre = index.centres[key[0].as_py()]
         x, q = matrix(left.column("v")), matrix(right.column("v"))
         none = np.zeros(0, np.int64)
@@ -242,7 +244,7 @@ def search(table: DataFrame, every: int = 20, top: int = TOP, id_column: str = "
     keys = ["list", "block", "wave"]
     left = dealt(base, "block", blocks, "wave", waves).groupBy(*keys)
     right = dealt(asked, "wave", waves, "block", blocks).groupBy(*keys)
-    found = left.cogroup(right).applyInArrow(tile, "query_id long, vec_id long, score double")
-    found = found.unionByName(queries.mapInArrow(to_known, "query_id long, vec_id long, score double")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = left.cogroup(right).applyInArrow(kernel.freed(tile), "query_id long, vec_id long, score double")
+    found = found.unionByName(queries.mapInArrow(kernel.freed(to_known), "query_id long, vec_id long, score double")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

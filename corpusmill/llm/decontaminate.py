@@ -215,7 +215,7 @@ def find(docs: DataFrame, benchmark: DataFrame, most: int = INDEX_BYTES) -> Data
     """doc_id, contaminated, item_ids, n_items, top_score of every document."""
     text = F.col("text").cast("string")
     rows = docs.select(F.xxhash64("doc_id", text).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    found = [rows.mapInArrow(_search(index), _FOUND) for index in _indexes(benchmark, most)]
+    found = [rows.mapInArrow(kernel.freed(_search(index)), _FOUND) for index in _indexes(benchmark, most)]
     if len(found) == 1:
         out = found[0]
     else:
@@ -245,5 +245,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, most: int = INDEX_BYTES) -> Dat
                 leaks = [x for part in search([asked]) for x in part.column("n_items").to_pylist()]
                 yield batch.filter(pa.array([not x for x in leaks], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(kernel.freed(run), docs.schema)
     return out

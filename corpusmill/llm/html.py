@@ -20,6 +20,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import kernel
+
 WINDOW = 3
 #: A window of lines with so many characters surges; it dives when a window holds none.
 SURGE = 24
@@ -183,4 +185,4 @@ def _run(batches):
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page; no shuffle, a page at a time."""
-    return pages.select("page_id", "url", "html").mapInArrow(_run, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(kernel.freed(_run), "page_id long, url string, text string, n_chars long")

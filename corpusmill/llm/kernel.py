@@ -162,3 +162,45 @@ def span(table: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndar
     """64-bit hashes of spans; equal for equal bytes wherever they are."""
     sums, back = table
     return mix((sums[ends] - sums[starts]) * back[starts] + ((ends - starts) * 8 + salt).astype(np.uint64))
+
+
+#: A group's rows of so many bytes are worth giving memory back for.
+RELEASE_BYTES = 1 << 20
+_libc = None
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker lives on after its task, beside those of other stages."""
+    global _libc
+    pa.default_memory_pool().release_unused()
+    if _libc is None:
+        import ctypes
+
+        _libc = ctypes.CDLL(None)
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def freed(work):
+    """A function for mapInArrow() or applyInArrow() that releases what it freed."""
+    import inspect
+
+    def batches(rows):
+        try:
+            yield from work(rows)
+        finally:
+            release()
+
+    def settled(out, *tables):
+        if sum(t.nbytes for t in tables) > RELEASE_BYTES:
+            release()
+        return out
+
+    def group(key, table):
+        return settled(work(key, table), table)
+
+    def pair(key, left, right):
+        return settled(work(key, left, right), left, right)
+
+    needed = [p for p in inspect.signature(work).parameters.values() if p.default is p.empty]
+    return {1: batches, 2: group, 3: pair}[len(needed)]

@@ -177,7 +177,7 @@ def score(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fold = kernel.crc_of_decimal("doc_id") % FOLDS
     training = rows.where(fold != HELD)
-    counts = storage.save(training.select("text").mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "counts")
+    counts = storage.save(training.select("text").mapInArrow(kernel.freed(_count), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "counts")
     totals = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = totals["n"] or 0, totals["v"]
     # bounded by TABLE rows
@@ -194,15 +194,15 @@ def score(docs: DataFrame) -> DataFrame:
         shards = max(1, int(wanted // SHARD))
         dealt = picked.select(F.pmod(F.xxhash64(F.lit("shard"), "doc_id", "text"), F.lit(shards)).alias("shard"), "text").repartition(shards, "shard")
         for _ in range(ROUNDS):
-            found = dealt.groupBy("shard").applyInArrow(_train(words, model), "weight double, model binary")
+            found = dealt.groupBy("shard").applyInArrow(kernel.freed(_train(words, model)), "weight double, model binary")
             # parameters are of one size, and are summed where they are
             size = len(gru.pack(model))
-            parts = found.mapInArrow(_partial_sum(size), "weight double, model binary").repartition(1).mapInArrow(_partial_sum(size), "weight double, model binary").collect()
+            parts = found.mapInArrow(kernel.freed(_partial_sum(size)), "weight double, model binary").repartition(1).mapInArrow(kernel.freed(_partial_sum(size)), "weight double, model binary").collect()
             if parts and parts[0]["weight"]:
                 mean = (np.frombuffer(parts[0]["model"], "<f8") / parts[0]["weight"]).astype("<f4")
                 model = gru.unpack(mean.tobytes(), model)
 
-    scored = storage.save(rows.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_score(words, model), _SCORED), "scored")
+    scored = storage.save(rows.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(kernel.freed(_score(words, model)), _SCORED), "scored")
     rare = scored.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
     joined = rare.join(counts, "h")
     sums = joined.groupBy("rid").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("times").alias("more_seen"))

@@ -189,7 +189,7 @@ def links(docs: DataFrame, k: int = K, run: int = RUN) -> tuple[DataFrame, DataF
     """Sketches (doc_id, n_shingles, signature) of all documents, and (id, component) of those that are linked."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = storage.save(texts.mapInArrow(_sketches(k, run), _SKETCH), "sketches")
+    sketches = storage.save(texts.mapInArrow(kernel.freed(_sketches(k, run)), _SKETCH), "sketches")
     filled = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy("signature").agg(F.min("doc_id").alias("id"))
     same = filled.select("doc_id", "signature").join(classes, "signature").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
@@ -204,10 +204,10 @@ def links(docs: DataFrame, k: int = K, run: int = RUN) -> tuple[DataFrame, DataF
     sizes = sizes.withColumn("blocks", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("s") * 8 / BLOCK_BYTES)).cast("int")).select("cluster", "blocks")
     dealt = loose.join(sizes, "cluster").select("id", "cluster", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
     # the texts are dealt by id at every size: a join that sends the smaller side to all would be one at small sizes only
-    whole = texts.withColumnRenamed("doc_id", "id").join(dealt.hint("merge"), "id").select("id", "cluster", "block", "blocks", "text").mapInArrow(_whole, "id long, cluster long, block int, blocks int, shingles binary")
+    whole = texts.withColumnRenamed("doc_id", "id").join(dealt.hint("merge"), "id").select("id", "cluster", "block", "blocks", "text").mapInArrow(kernel.freed(_whole), "id long, cluster long, block int, blocks int, shingles binary")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     tiles = whole.withColumn("pair", F.explode(pairs)).select("cluster", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "block", "id", "shingles")
-    near = tiles.groupBy("cluster", "i", "j").applyInArrow(_tile, "a long, b long")
+    near = tiles.groupBy("cluster", "i", "j").applyInArrow(kernel.freed(_tile), "a long, b long")
     out = components(near.unionByName(same), name="links")
     storage.drop(loose)
     storage.release()

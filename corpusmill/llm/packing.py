@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import storage, tokens
+from . import kernel, storage, tokens
 
 CAPACITY = 4096
 GRAIN = 16
@@ -177,7 +177,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
     spark = docs.sparkSession
     path = tokenizer_path or tokens.default_path()
-    pieces = storage.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pieces(path, capacity, grain, end_id), _PIECES), "pieces")
+    pieces = storage.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(kernel.freed(_pieces(path, capacity, grain, end_id)), _PIECES), "pieces")
     counts = pieces.groupBy("part", "bin").count()
     demand = {r["bin"]: r["n"] for r in counts.groupBy("bin").agg(F.sum("count").alias("n")).collect()}
     spots = places(plan(demand, capacity // grain))
@@ -199,6 +199,6 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
             yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"])
 
     ranked = pieces.join(bases, ["part", "bin"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "bin", (F.col("base") + F.col("nth")).alias("rank"))
-    placed = ranked.mapInArrow(assign, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long")
+    placed = ranked.mapInArrow(kernel.freed(assign), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long")
     before = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))

@@ -83,7 +83,7 @@ def _count(batches):
 
 def counts(texts: DataFrame) -> np.ndarray:
     """How often each bucket occurs in all texts: a vector of fixed length, summed on the executors slice by slice."""
-    rows = texts.select("text").mapInArrow(_count, "slice int, counts binary").groupBy("slice").applyInArrow(_sum_slices, "slice int, counts binary").collect()
+    rows = texts.select("text").mapInArrow(kernel.freed(_count), "slice int, counts binary").groupBy("slice").applyInArrow(kernel.freed(_sum_slices), "slice int, counts binary").collect()
     out = np.zeros(BUCKETS, np.int64).reshape(-1, SLICE)
     for r in rows:
         out[r["slice"]] = np.frombuffer(r["counts"], np.int64)
@@ -169,7 +169,7 @@ def weigh(docs: DataFrame, labels: DataFrame, most: int = LABELLED, seed: int =
     target = counts(texts.join(known.where("label = 1"), "doc_id", "left_semi"))
     ratio = log_ratio(target, raw)
     noise = -F.log(-F.log((F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit(-1))), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))))
-    scored = storage.save(texts.mapInArrow(_score(ratio), "doc_id long, log_weight double, n_features long").withColumn("perturbed", F.col("log_weight") + noise), "weights")
+    scored = storage.save(texts.mapInArrow(kernel.freed(_score(ratio)), "doc_id long, log_weight double, n_features long").withColumn("perturbed", F.col("log_weight") + noise), "weights")
     rows = scored.join(known, "doc_id").select("log_weight", "label").toArrow()
     cut = boundary(rows.column("log_weight").to_numpy(), rows.column("label").to_numpy())
     k = scored.where(F.col("log_weight") >= F.lit(cut)).count()

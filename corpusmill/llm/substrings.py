@@ -352,21 +352,21 @@ def _rewrite(root: str, length: int, names: list[str]):
 def _dedup(docs: DataFrame, length: int, finish, schema) -> DataFrame:
     spark = docs.sparkSession
     root = storage.fresh_path(spark, "chunks")
-    chunks = storage.save(docs.mapInArrow(_store(root), "chunk string, rows long, bytes long"), "chunklist")
+    chunks = storage.save(docs.mapInArrow(kernel.freed(_store(root)), "chunk string, rows long, bytes long"), "chunklist")
     total = chunks.agg(F.sum("bytes")).first()[0]
     if total is None:
         return spark.createDataFrame([], schema)
     tasks = int(total // TASK_BYTES + 1)
     buckets = int(total * 4 // 3 // BUCKET_BYTES + 1)
-    routed = chunks.repartition(tasks).mapInArrow(_route(root, buckets, length), "bucket int, chunk string, pieces binary, own binary, ids binary")
-    found = storage.save(routed.groupBy("bucket").applyInArrow(_compare, _FOUND), "found")
+    routed = chunks.repartition(tasks).mapInArrow(kernel.freed(_route(root, buckets, length)), "bucket int, chunk string, pieces binary, own binary, ids binary")
+    found = storage.save(routed.groupBy("bucket").applyInArrow(kernel.freed(_compare), _FOUND), "found")
     storage.release()
     count = found.where("kind = 1").agg(F.sum("n")).first()[0] or 0
     shards = int(count * (length + 20) // SHARD_BYTES + 1)
-    apart = found.where("kind = 1").groupBy("chunk").applyInArrow(_fetch(root, shards, length), "shard int, chunk string, places binary, bytes binary")
-    near = storage.save(apart.groupBy("shard").applyInArrow(_suffixes(length), _FOUND), "near")
+    apart = found.where("kind = 1").groupBy("chunk").applyInArrow(kernel.freed(_fetch(root, shards, length)), "shard int, chunk string, places binary, bytes binary")
+    near = storage.save(apart.groupBy("shard").applyInArrow(kernel.freed(_suffixes(length)), _FOUND), "near")
     spans = found.where("kind = 0").unionByName(near)
-    out = storage.save(chunks.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(finish(root), schema), "deduped")
+    out = storage.save(chunks.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(kernel.freed(finish(root)), schema), "deduped")
     storage.drop(chunks, found, near)
     storage.remove(spark, root)
     storage.release()

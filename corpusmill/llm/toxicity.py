@@ -218,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model | flo
         return float(list(n)[0]) if n else 0.0
     total = {r["label"]: r["count"] for r in labels.where(fold).select(F.col("toxic").cast("int").alias("label"), "doc_id").where("label in (0, 1) and doc_id is not null").groupBy("label").count().collect()}
     n0, n1 = n[0], n[1]
-    counted = sample.mapInArrow(_frequencies, "term long, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("clean + toxic >= 3")
+    counted = sample.mapInArrow(kernel.freed(_frequencies), "term long, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("clean + toxic >= 3")
     p = (F.col("clean") / n0 + F.col("toxic") / n1) / 2
     apart = F.abs(F.col("toxic") / n1 - F.col("clean") / n0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n0 + 1 / n1))
     ratio = (F.col("toxic") + 0.5) / n1 / ((F.col("clean") + 0.5) / n0)
@@ -234,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model | flo
                 c, w = zip(*vectors.of(data, at))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("label").slice(lo, hi - lo), pa.array(list(c), pa.list_(pa.int64())), pa.array(list(w), pa.list_(pa.float64()))], names=["doc_id", "label", "at", "weight"])
 
-    rows = sorted(sample.mapInArrow(featured, "doc_id long, label int, at array<long>, weight array<double>").collect())
+    rows = sorted(sample.mapInArrow(kernel.freed(featured), "doc_id long, label int, at array<long>, weight array<double>").collect())
     ids, label = np.array([r["doc_id"] for r in rows]), np.array([r["label"] for r in rows])
     found = [(np.array(r["at"], np.int64), np.array(r["weight"])) for r in rows]
     index = Index(ids, label, found, len(term) + 1)
@@ -268,5 +268,5 @@ def score(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> DataFrame
                     p, near = zip(*(model.score(v) for v in model.vectors.of(data, at)))
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(p, pa.float64()), pa.array(near, pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
-        scored = rows.mapInArrow(run, "doc_id long, score double, evidence array<long>")
+        scored = rows.mapInArrow(kernel.freed(run), "doc_id long, score double, evidence array<long>")
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import storage
+from . import kernel, storage
 
 ARCHIVE_BYTES = 16 << 20
 VERSION = b"WARC/1.1"
@@ -207,13 +207,13 @@ def write(pages: DataFrame, root: str, min_payload_bytes: int = 0, archive_bytes
     Only digests that more than one page has are joined back, so the join is small unless copies abound; copies of one
     payload may be a third of all rows, which the adaptive join splits, since the other side has one row for each.
     """
-    rows = pages.select("page_id", "url", "html").mapInArrow(_digests, "page_id long, url string, html string, payload_digest string, payload_bytes long")
+    rows = pages.select("page_id", "url", "html").mapInArrow(kernel.freed(_digests), "page_id long, url string, html string, payload_digest string, payload_bytes long")
     keys = pages.select("page_id", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).where(F.octet_length("html") >= min_payload_bytes)
     firsts = keys.groupBy(F.sha1(F.col("html").cast("binary")).alias("key")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
     key = F.when(F.col("payload_bytes") >= min_payload_bytes, F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")))
     joined = rows.withColumn("key", key).join(firsts, "key", "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    joined.select("page_id", "url", "html", "payload_digest", refers.alias("refers_to")).mapInArrow(_writer(root, archive_bytes), "path string, records long, bytes long").agg(F.sum("records")).collect()
+    joined.select("page_id", "url", "html", "payload_digest", refers.alias("refers_to")).mapInArrow(kernel.freed(_writer(root, archive_bytes)), "path string, records long, bytes long").agg(F.sum("records")).collect()
 
 
 _READ = "archive string, start long, stop long, problem string, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
@@ -256,7 +256,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def read(spark, root: str, want_payload: bool = False) -> DataFrame:
     """Records and gaps of all archives under a folder; `problem` is null for records."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").schema("path string, modificationTime timestamp, length long, content binary").load(root)
-    return files.select("path", "content").mapInArrow(_reader(want_payload), _READ)
+    return files.select("path", "content").mapInArrow(kernel.freed(_reader(want_payload)), _READ)
 
 
 def round_trip(pages: DataFrame, min_payload_bytes: int = 0) -> DataFrame:
