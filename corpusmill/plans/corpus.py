@@ -107,7 +107,7 @@ def bernoulli_sample(spark, sf_dir):
     return S.bernoulli(table(spark, sf_dir, "documents").select("doc_id"), 0.3, 42, "doc_id")
 
 
-@query("SELECT conv_id, turn FROM conversations, (SELECT least(1, 100.0::DOUBLE / count(*)) AS f FROM conversations) WHERE substr(sha256('5:' || conv_id || ':' || turn), 1, 8) < printf('%08x', CAST(floor(f * 4294967296::DOUBLE) AS BIGINT))")
+@query("SELECT conv_id, turn FROM conversations, (SELECT least(1, 100.0::DOUBLE / count(*)) AS f FROM conversations) WHERE ('0x' || substr(sha256('5:' || conv_id || ':' || turn), 1, 8))::BIGINT < floor(f * 4294967296::DOUBLE)")
 def calibrated_sample_n(spark, sf_dir):
     return S.calibrated(table(spark, sf_dir, "conversations").select("conv_id", "turn"), 100, 5, "conv_id", "turn")
 
