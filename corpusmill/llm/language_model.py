@@ -3,8 +3,8 @@
 Counts of all words of all training documents are one table, spread over the cluster.  The network knows the most
 frequent `CLASSES * SIZE - 2` words, the end, and one place for all others; a word there is told apart by its add-one
 share among them, so the model is a distribution over the same words as the base.  It is trained by parameter averaging:
-training documents - one in RATE of all, `LEAST` at least, those of the smallest hashes of their ids - are dealt over
-shards, each shard runs truncated backpropagation on its own, and the averages start the next round.
+all training documents, as numbers of words, are dealt over shards of SHARD documents at least, so that shards grow with
+the table; each shard runs truncated backpropagation on its own, and the averages start the next round over all of them.
 
 Scoring keeps a bounded table of the TABLE most frequent words at hand; rarer words of a document are listed and joined
 to the counts.  A text's state is carried through all of its windows.
@@ -26,8 +26,12 @@ from . import gru, kernel, storage
 FOLDS, HELD = 7, 2
 CLASSES, SIZE = 32, 64
 TABLE = 1 << 18
-RATE, LEAST, SHARD = 32, 2_000, 500
+SHARD = 500
 ROUNDS = 3
+#: Tasks of a round grow with its shards: all shards have tasks of their own up to TASKS, then this many share one.
+TASKS, TOGETHER = 64, 8
+#: Sums of parameters that one task adds up at most.
+FAN = 32
 CHUNK_BYTES = 8 << 20
 #: Distinct words held while a partition is counted.
 HOLD = 2_000_000
@@ -120,19 +124,56 @@ class Words:
         return found
 
 
-def _train(words: Words, model: gru.Params):
+def _number(words: Words):
+    """Each text as numbers of two bytes a word."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, at in kernel.chunks(batch.column("text"), CHUNK_BYTES):
+                h, of = tokens(data, at)
+                ids = words.numbers(words.find(h), h).astype("<u2")
+                yield pa.RecordBatch.from_arrays([batch.column("shard").slice(lo, hi - lo), pa.array([ids[a:b].tobytes() for a, b in zip(of[:-1], of[1:])], pa.binary())], names=["shard", "ids"])
+
+    return run
+
+
+def _train(model: gru.Params):
     def run(key, table):
-        texts = []
-        for _, _, data, at in kernel.chunks(table.column("text"), CHUNK_BYTES):
-            h, of = tokens(data, at)
-            ids = words.numbers(words.find(h), h)
-            texts += [ids[lo:hi] for lo, hi in zip(of[:-1], of[1:])]
+        texts = [np.frombuffer(x.as_buffer(), "<u2").astype(np.int64) for x in table.column("ids")]
         found = gru.train(model, texts, _END_ID)
         return pa.table({"weight": pa.array([float(sum(map(len, texts)))]), "model": pa.array([gru.pack(found)], pa.binary())})
 
     return run
 
 
+def fit(training: DataFrame, words: Words, documents: int) -> tuple[gru.Params, list[int]]:
+    """The network after ROUNDS over all training documents, and how many words each round learned from."""
+    model, learned = gru.start(words.frequency, SIZE), []
+    if not documents:
+        return model, learned
+    shards = max(1, documents // SHARD)
+    tasks = max(min(shards, TASKS), shards // TOGETHER)
+    shard = F.pmod(F.xxhash64(F.lit("shard"), "doc_id", "text"), F.lit(shards)).alias("shard")
+    numbered = storage.save(training.select(shard, "text").mapInArrow(kernel.freed(_number(words)), "shard long, ids binary"), "numbered")
+    # parameters are of one size, and are summed where they are
+    size = len(gru.pack(model))
+    for _ in range(ROUNDS):
+        dealt = numbered.repartition(tasks, "shard")
+        parts = dealt.groupBy("shard").applyInArrow(kernel.freed(_train(model)), "weight double, model binary").mapInArrow(kernel.freed(_partial_sum(size)), "weight double, model binary")
+        left = tasks
+        while True:
+            left = -(-left // FAN)
+            parts = parts.repartition(left).mapInArrow(kernel.freed(_partial_sum(size)), "weight double, model binary")
+            if left == 1:
+                break
+        part = parts.collect()[0]
+        mean = (np.frombuffer(part["model"], "<f8") / part["weight"]).astype("<f4")
+        model = gru.unpack(mean.tobytes(), model)
+        learned.append(int(part["weight"]))
+    storage.drop(numbered)
+    return model, learned
+
+
 def _score(words: Words, model: gru.Params):
     ten = np.log(10)
 
@@ -185,23 +226,7 @@ def score(docs: DataFrame) -> DataFrame:
     words = Words(top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy(), n, v)
 
     documents = training.count()
-    model = gru.start(words.frequency, SIZE)
-    wanted = min(documents, max(LEAST, documents // RATE))
-    if wanted:
-        # one in so many by a hash of the id, so that no order of all documents is needed
-        share = min(1.0, 1.05 * wanted / documents)
-        picked = training.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-        shards = max(1, int(wanted // SHARD))
-        dealt = picked.select(F.pmod(F.xxhash64(F.lit("shard"), "doc_id", "text"), F.lit(shards)).alias("shard"), "text").repartition(shards, "shard")
-        for _ in range(ROUNDS):
-            found = dealt.groupBy("shard").applyInArrow(kernel.freed(_train(words, model)), "weight double, model binary")
-            # parameters are of one size, and are summed where they are
-            size = len(gru.pack(model))
-            parts = found.mapInArrow(kernel.freed(_partial_sum(size)), "weight double, model binary").repartition(1).mapInArrow(kernel.freed(_partial_sum(size)), "weight double, model binary").collect()
-            if parts and parts[0]["weight"]:
-                mean = (np.frombuffer(parts[0]["model"], "<f8") / parts[0]["weight"]).astype("<f4")
-                model = gru.unpack(mean.tobytes(), model)
-
+    model, _ = fit(training, words, documents)
     scored = storage.save(rows.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(kernel.freed(_score(words, model)), _SCORED), "scored")
     rare = scored.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
     joined = rare.join(counts, "h")

@@ -149,6 +149,25 @@ def test_language_model(docs):
         assert any(r.n_tokens == len(w) and r.n_known == sum(count[x] > 0 for x in w) and r.train_tokens == n and r.held_out == held(i) and abs(r.base_score - base) < 1e-6 * abs(base) and r.score < 0 for r in by[i])
 
 
+def test_language_model_learns_from_all_training_documents(spark):
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    rows = [(i, " ".join(RNG.choice(WORDS, 12))) for i in range(3_500)]
+    table = lambda x: spark.createDataFrame(x, "doc_id long, text string").repartition(4)
+    # the documents that a sample of 2,000 by a hash of the id leaves out, with their words backwards: same counts
+    share = 1.05 * 2_000 / sum(not held(i) for i, _ in rows)
+    out = {r.doc_id for r in table(rows).where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)) >= int(share * (1 << 30))).collect()}
+    turned = [(i, " ".join(reversed(t.split())) if i in out and not held(i) else t) for i, t in rows]
+    a, b = ({r.doc_id: r for r in language_model.score(table(x)).collect()} for x in (rows, turned))
+    tested = [i for i, _ in rows if held(i)]
+    assert all(abs(a[i].base_score - b[i].base_score) < 1e-9 for i in tested)
+    assert max(abs(a[i].score - b[i].score) for i in tested) > 1e-3
+    # every round learns from every word and end of all training documents
+    training = table([x for x in rows if not held(x[0])])
+    n = training.count()
+    seen = language_model.Words(np.zeros(0, np.uint64), np.zeros(0, np.int64), 13 * n, 0)
+    assert language_model.fit(training, seen, n)[1] == [13 * n] * language_model.ROUNDS
+
+
 def test_gradients_and_carried_state():
     p = {k: v.astype(np.float64) for k, v in gru.start(RNG.random(24) * 10, 6, hidden=5).items()}
     before, target, mask, h = RNG.integers(0, 24, (4, 3)), RNG.integers(0, 24, (4, 3)), np.ones((4, 3), bool), RNG.standard_normal((3, 5))
