@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusmill.llm import decontaminate, minhash, packing, quality, storage, substrings
 from corpusmill.llm.queries import table
 
+#: Similarity from which the stage of near duplicates links documents; the query op5 has a contract of its own.
+NEAR = (80, 100)
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality sampler rejects go."""
@@ -21,8 +24,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id stays."""
-    return minhash.keep_one(docs)
+    """Of each group of near copies (Jaccard similarity of 0.8 or more) the document of the smallest id stays."""
+    return minhash.keep_one(docs, NEAR)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

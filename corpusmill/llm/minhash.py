@@ -2,9 +2,11 @@
 
 A document's set is its distinct 5-word shingles, as 64-bit hashes; its sketch is the K smallest of them.  Documents
 with equal sets are first folded into one class.  Inverted lists of retained values - keyed by runs of RUN values that
-are neighbours in a sketch - bring together classes whose sketches overlap: two sets of a Jaccard similarity of 0.85
-share such a run but for a chance below 1e-6 (sets of up to K shingles always do), while documents that share only a
-passage or a few phrases rarely do.  Lists of one class are dropped; the others join their classes into loose clusters.
+are neighbours in a sketch - bring together classes whose sketches overlap: two large sets of a Jaccard similarity of
+0.85 share such a run but for a chance below 1e-6, of 0.8 but for one of about 1e-5 (sets of up to K shingles always
+do; those of SHORT or fewer are listed by runs of two as well, for a set of five and four of them may share no run of
+three), while documents that share only a passage or a few phrases rarely do.  Lists of one class are dropped; the
+others join their classes into loose clusters.
 Each class of a cluster moves once with its whole set: within a cluster (dealt over tiles of pairs of blocks if it is
 large), the union sketch's estimate drops pairs that can't reach the threshold, and exact set sizes confirm the rest.
 No pairs are emitted: a tile yields a spanning forest of its links, and components are found by alternating large-star
@@ -26,6 +28,8 @@ from . import kernel, storage
 
 K = 32
 RUN = 3
+#: Shingles of a set that is listed by runs of two too.
+SHORT = 5
 LINK = (85, 100)
 #: Standard errors by which the union sketch's estimate may fall short of the threshold.
 SLACK = 5.0
@@ -66,6 +70,8 @@ def _sketches(k: int, run: int):
                 n.append(len(s))
                 signature.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 own = runs(s[:k], run) if len(s) else s
+                if 2 < len(s) <= SHORT:
+                    own = np.concatenate([own, runs(s, 2)])
                 keys.append(own.view(np.int64))
                 sizes.append(len(own))
             if n:
@@ -170,22 +176,25 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _tile(key, table):
-    i, j = key[1].as_py(), key[2].as_py()
-    order = np.argsort(table.column("block").to_numpy(), kind="stable") if i != j else np.arange(len(table))
-    ids = table.column("id").to_numpy()[order]
-    block = table.column("block").to_numpy()[order]
-    raw = table.column("shingles").combine_chunks() if isinstance(table.column("shingles"), pa.ChunkedArray) else table.column("shingles")
-    shingle = [np.frombuffer(raw[int(r)].as_buffer(), np.uint64) for r in order]
-    size = np.array([len(s) for s in shingle])
-    left = 0 if i == j else int((block == i).sum())
-    edges = forest(size, shingle, left) if i == j or 0 < left < len(ids) else []
-    a = np.array([ids[x] for x, _ in edges], np.int64)
-    b = np.array([ids[y] for _, y in edges], np.int64)
-    return pa.table({"a": a, "b": b})
+def _tile(link: tuple[int, int]):
+    def run(key, table):
+        i, j = key[1].as_py(), key[2].as_py()
+        order = np.argsort(table.column("block").to_numpy(), kind="stable") if i != j else np.arange(len(table))
+        ids = table.column("id").to_numpy()[order]
+        block = table.column("block").to_numpy()[order]
+        raw = table.column("shingles").combine_chunks() if isinstance(table.column("shingles"), pa.ChunkedArray) else table.column("shingles")
+        shingle = [np.frombuffer(raw[int(r)].as_buffer(), np.uint64) for r in order]
+        size = np.array([len(s) for s in shingle])
+        left = 0 if i == j else int((block == i).sum())
+        edges = forest(size, shingle, left, link) if i == j or 0 < left < len(ids) else []
+        a = np.array([ids[x] for x, _ in edges], np.int64)
+        b = np.array([ids[y] for _, y in edges], np.int64)
+        return pa.table({"a": a, "b": b})
 
+    return run
 
-def links(docs: DataFrame, k: int = K, run: int = RUN) -> tuple[DataFrame, DataFrame]:
+
+def links(docs: DataFrame, k: int = K, run: int = RUN, link: tuple[int, int] = LINK) -> tuple[DataFrame, DataFrame]:
     """Sketches (doc_id, n_shingles, signature) of all documents, and (id, component) of those that are linked."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -207,7 +216,7 @@ def links(docs: DataFrame, k: int = K, run: int = RUN) -> tuple[DataFrame, DataF
     whole = texts.withColumnRenamed("doc_id", "id").join(dealt.hint("merge"), "id").select("id", "cluster", "block", "blocks", "text").mapInArrow(kernel.freed(_whole), "id long, cluster long, block int, blocks int, shingles binary")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     tiles = whole.withColumn("pair", F.explode(pairs)).select("cluster", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "block", "id", "shingles")
-    near = tiles.groupBy("cluster", "i", "j").applyInArrow(kernel.freed(_tile), "a long, b long")
+    near = tiles.groupBy("cluster", "i", "j").applyInArrow(kernel.freed(_tile(link)), "a long, b long")
     out = components(near.unionByName(same), name="links")
     storage.drop(loose)
     storage.release()
@@ -216,14 +225,14 @@ def links(docs: DataFrame, k: int = K, run: int = RUN) -> tuple[DataFrame, DataF
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    sketches, linked = links(docs)
+    sketches, linked = links(docs, link=LINK)
     found = sketches.select("doc_id", "n_shingles").join(linked.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
     """The documents without those that a document of a smaller id stands for; of rows with one id, all stay."""
-    _, linked = links(docs)
+    _, linked = links(docs, link=link)
     gone = linked.where("component <> id").select(F.col("id").alias("doc_id"))
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)

@@ -120,6 +120,21 @@ def test_near_duplicates_equal_brute_force(docs):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=repr) == want
 
 
+def test_pipeline_drops_near_copies_of_similarity_four_fifths(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(104)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:-20])), (3, " ".join(base[:-21]))]  # 100 shingles, 80 and 79 of them
+    short = [(10 + 2 * j + k, " ".join(f"s{j}x{i}" for i in range(9 - k))) for j in range(40) for k in (0, 1)]  # 5 and 4
+    docs = spark.createDataFrame(rows[:2] + short, "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()}
+    assert got == {1, *range(10, 90, 2)}
+    docs = spark.createDataFrame([rows[0], rows[2]], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()} == {1, 3}
+    docs = spark.createDataFrame(rows[:2], "doc_id long, text string")
+    assert {r.doc_id for r in minhash.near_duplicates(docs).where("kept").collect()} == {1, 2}
+
+
 def test_leaks_equal_brute_force(spark, docs):
     rows = [(1, SHARED), (2, "never " * 8 + "seen anywhere at all."), (3, None), (4, ""), (5, prose(3)), (None, COPY), (6, SHARED)]
     bench = spark.createDataFrame(rows, "item_id long, text string").withColumn("key", F.lit(1))
