@@ -54,7 +54,8 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     Marks that a passage was pasted next to belong to no word.
     """
     starts, ends, of = kernel.runs(data, at, _WORD)
-    return kernel.span(kernel.rolling(kernel.LOWER[data]), starts, ends), of
+    data = kernel.LOWER[data]
+    return kernel.span(data, kernel.rolling(data), starts, ends), of
 
 
 def _words(text: str) -> np.ndarray:

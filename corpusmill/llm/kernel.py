@@ -7,6 +7,7 @@ documents (`chunks`), which bounds memory by `CHUNK_BYTES` or by the longest sin
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,6 +101,15 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return runs(data, at, ~WS)
 
 
+#: Sums of powers modulo 2^64 tell texts of so many bytes apart but by chance; of longer ones, some made-up pairs (such as
+#: a Thue-Morse word and its complement) have equal sums, so those get a cryptographic hash.
+SUMMED = 200
+
+
+def long_hash(data: np.ndarray, salt: int = 0) -> int:
+    return int.from_bytes(hashlib.blake2b(data.tobytes(), digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "little")
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of each word."""
     if not len(starts):
@@ -109,7 +119,11 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool =
     place = np.arange(stop - begin, dtype=np.int32) - np.repeat((starts - begin).astype(np.int32), spans)
     table = _BYTE[LOWER] if lower else _BYTE
     value = table[data[begin:stop]] * powers(int(spans.max()))[place]
-    return mix(np.add.reduceat(value, starts - begin) + (ends - starts).astype(np.uint64))
+    out = mix(np.add.reduceat(value, starts - begin) + (ends - starts).astype(np.uint64))
+    for k in np.flatnonzero(ends - starts > SUMMED).tolist():
+        word = data[starts[k] : ends[k]]
+        out[k] = long_hash(LOWER[word] if lower else word)
+    return out
 
 
 def shingles(word: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,10 +172,13 @@ def rolling(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, _BACK[: n + 1]
 
 
-def span(table: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    """64-bit hashes of spans; equal for equal bytes wherever they are."""
+def span(data: np.ndarray, table: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of spans of the data, of which the table is rolling(data); equal for equal bytes wherever they are."""
     sums, back = table
-    return mix((sums[ends] - sums[starts]) * back[starts] + ((ends - starts) * 8 + salt).astype(np.uint64))
+    out = mix((sums[ends] - sums[starts]) * back[starts] + ((ends - starts) * 8 + salt).astype(np.uint64))
+    for k in np.flatnonzero(ends - starts > SUMMED).tolist():
+        out[k] = long_hash(data[starts[k] : ends[k]], salt)
+    return out
 
 
 #: A group's rows of so many bytes are worth giving memory back for.

@@ -45,13 +45,14 @@ _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 def terms(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, term hash) of all words and their beginnings."""
     starts, ends, cut = kernel.runs(data, at, _LETTER)
-    table = kernel.rolling(kernel.LOWER[data])
+    data = kernel.LOWER[data]
+    table = kernel.rolling(data)
     of = np.repeat(np.arange(len(at) - 1), np.diff(cut))
-    texts, found = [of], [kernel.span(table, starts, ends, 1)]
+    texts, found = [of], [kernel.span(data, table, starts, ends, 1)]
     for n in PREFIXES:
         long = ends - starts > n
         texts.append(of[long])
-        found.append(kernel.span(table, starts[long], starts[long] + n, 2))
+        found.append(kernel.span(data, table, starts[long], starts[long] + n, 2))
     return np.concatenate(texts), np.concatenate(found)
 
 

@@ -74,6 +74,23 @@ def test_induced_sort_with_disk_and_recursion():
                     assert shared[k] == min(255, differ[0] if len(differ) else m)
 
 
+def test_long_words_that_sums_cannot_tell_apart():
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    for x in (kernel.hashes, lambda d, s, e: kernel.span(d, kernel.rolling(d), s, e)):
+        found = x(np.frombuffer(f"{word} {other} {word}".encode(), np.uint8), np.array([0, 4097, 8194]), np.array([4096, 8193, 12290]))
+        assert found[0] == found[2] != found[1]
+
+
+def test_hot_minimizers_change_no_result(docs, monkeypatch):
+    want = sorted(map(tuple, substrings.remove_repeats(docs).collect()), key=repr)
+    monkeypatch.setattr(substrings, "HOT", 2)
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 20_000)
+    assert sorted(map(tuple, substrings.remove_repeats(docs).collect()), key=repr) == want
+
+
 def test_repeats_equal_brute_force(docs):
     first = {}
     for i, t in ROWS:
@@ -328,5 +345,5 @@ def test_odd_rows(docs, labels):
 
 def test_kernel_spans():
     a = np.frombuffer(b"xx hello yy hello", np.uint8)
-    h = kernel.span(kernel.rolling(a), np.array([3, 12, 2]), np.array([8, 17, 7]))
+    h = kernel.span(a, kernel.rolling(a), np.array([3, 12, 2]), np.array([8, 17, 7]))
     assert h[0] == h[1] != h[2]
