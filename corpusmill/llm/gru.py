@@ -1,17 +1,20 @@
 """A gated recurrent language model in numpy: truncated backpropagation, class-factored softmax, carried state.
 
 Words 0..V-1 lie in classes of equal size, `size` words each; P(word) = P(class | state) * P(word | class, state).
-The input table holds each word's contribution to the three gates.  Texts run side by side, sorted by length; the state
-at the end of a window of steps starts the next one, so a text's likelihood is that of the whole text.
+The input table holds each word's contribution to the three gates.  Texts are dealt over lanes that run side by side,
+one text after the other in each; the state at the end of a window of steps starts the next one and is 0 where a text
+begins, so a text's likelihood is that of the whole text.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 HIDDEN = 16
 WINDOW = 32
-LANES = 64
+LANES = 256
 
 Params = dict[str, np.ndarray]
 
@@ -51,146 +54,205 @@ def _step(p: Params, inputs: np.ndarray, h: np.ndarray):
     return new + z * (h - new), (z, r, new, own[:, 2 * n :])
 
 
-def _by_class(target: np.ndarray, size: int):
-    kind = target // size
+def _by_class(target: np.ndarray, size: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order that brings the words of a class together, and (class, from, to) of each in it."""
+    kind = (target // size).astype(np.uint16)
     order = np.argsort(kind, kind="stable")
-    cuts = np.searchsorted(kind[order], np.arange(kind.max() + 2))
-    for c in np.flatnonzero(np.diff(cuts)).tolist():
-        yield c, order[cuts[c] : cuts[c + 1]]
+    cuts = np.searchsorted(kind[order], np.arange(int(kind.max(initial=0)) + 2))
+    return order, [(c, int(cuts[c]), int(cuts[c + 1])) for c in np.flatnonzero(np.diff(cuts)).tolist()]
 
 
 def _likelihood(p: Params, states: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log P(target | state) of each pair."""
     size = p["word"].shape[2]
-    out = _log_softmax(states @ p["class"] + p["class_bias"])[np.arange(len(target)), target // size].astype(np.float64)
-    for c, rows in _by_class(target, size):
-        out[rows] += _log_softmax(states[rows] @ p["word"][c] + p["word_bias"][c])[np.arange(len(rows)), target[rows] % size]
+    order, classes = _by_class(target, size)
+    states, target = states[order], target[order]
+    found = _log_softmax(states @ p["class"] + p["class_bias"])[np.arange(len(target)), target // size].astype(np.float64)
+    for c, lo, hi in classes:
+        found[lo:hi] += _log_softmax(states[lo:hi] @ p["word"][c] + p["word_bias"][c])[np.arange(hi - lo), target[lo:hi] % size]
+    out = np.empty(len(order))
+    out[order] = found
     return out
 
 
-def score(p: Params, words: np.ndarray, of: np.ndarray, first: int, window: int = WINDOW * 2) -> np.ndarray:
-    """Natural log-likelihood of each text; text i is words[of[i]:of[i + 1]], and `first` comes before its first word."""
-    length = np.diff(of)
+def seats(length: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lane, step at which it begins) of each text: every text goes to the lane that is free first, longest first.
+
+    Lanes are numbered from the one that ends last.
+    """
     order = np.argsort(-length, kind="stable")
-    begin, size = of[:-1][order], length[order]
-    total = np.zeros(len(order))
-    h = np.zeros((int((size > 0).sum()), p["state"].shape[0]), np.float32)
+    free = [(0, k) for k in range(max(1, min(lanes, len(order))))]
+    lane, begin, ends = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64), np.zeros(len(free), np.int64)
+    for i in order.tolist():
+        at, k = free[0]
+        lane[i], begin[i] = k, at
+        ends[k] = at + length[i]
+        heapq.heapreplace(free, (int(ends[k]), k))
+    rank = np.empty(len(ends), np.int64)
+    rank[np.argsort(-ends, kind="stable")] = np.arange(len(ends))
+    return rank[lane], begin
+
+
+class Loom:
+    """Texts dealt over lanes, one after the other in each, read a window of steps at a time."""
+
+    def __init__(self, words: np.ndarray, of: np.ndarray, lanes: int):
+        length = np.diff(of)
+        self.text = np.flatnonzero(length > 0)
+        lane, begin = seats(length[self.text], lanes)
+        self.words, self.of = words, of
+        # texts in order of lane and step
+        order = np.lexsort((begin, lane))
+        self.text, lane, begin = self.text[order], lane[order], begin[order]
+        self.lane_cut = np.searchsorted(lane, np.arange(int(lane.max(initial=-1)) + 2))
+        self.begin, self.end = begin, begin + length[self.text]
+        self.last = self.end[self.lane_cut[1:] - 1] if len(lane) else np.zeros(0, np.int64)
+        self.cursor = self.lane_cut[:-1].copy()
+        self.steps = int(self.last.max(initial=0))
+
+    def window(self, at: int, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each word, whether a text begins there, text) as steps x live lanes; place -1 after a lane's end."""
+        live = int(np.searchsorted(-self.last, -at, "left"))
+        place, first, text = np.full((steps, live), -1, np.int64), np.zeros((steps, live), bool), np.zeros((steps, live), np.int64)
+        for k in range(live):
+            i = int(self.cursor[k])
+            while i < self.lane_cut[k + 1] and self.begin[i] < at + steps:
+                lo, hi = max(at, int(self.begin[i])), min(at + steps, int(self.end[i]))
+                t = int(self.text[i])
+                start = int(self.of[t]) + lo - int(self.begin[i])
+                place[lo - at : hi - at, k] = np.arange(start, start + hi - lo)
+                text[lo - at : hi - at, k] = t
+                if lo == self.begin[i]:
+                    first[lo - at, k] = True
+                if self.end[i] > at + steps:
+                    break
+                i += 1
+            self.cursor[k] = i
+        return place, first, text
+
+
+def score(p: Params, words: np.ndarray, of: np.ndarray, first: int, window: int = WINDOW * 2, lanes: int = 4 * LANES) -> np.ndarray:
+    """Natural log-likelihood of each text; text i is words[of[i]:of[i + 1]], and `first` comes before its first word."""
+    loom = Loom(words, of, lanes)
+    total = np.zeros(len(of) - 1)
+    h = np.zeros((len(loom.last), p["state"].shape[0]), p["state"].dtype)
     table = p["gates"] + p["bias"]
-    at = 0
-    while len(h):
-        live = int(np.searchsorted(-size, -at, "left"))
-        h = h[:live]
-        if not live:
-            break
-        steps = min(window, int(size[0]) - at)
-        states, lanes, targets = [], [], []
-        for t in range(at, at + steps):
-            n = int(np.searchsorted(-size, -t, "left"))
-            place = begin[:n] + t
-            before = words[place - 1] if t else np.full(n, first)
-            h = _step(p, table[before], h[:n])[0]
-            states.append(h)
-            lanes.append(np.arange(n))
-            targets.append(words[place])
-        lanes = np.concatenate(lanes)
-        total += np.bincount(lanes, weights=_likelihood(p, np.concatenate(states), np.concatenate(targets)), minlength=len(total))
-        at += steps
-    out = np.empty(len(order))
-    out[order] = total
-    return out
+    for at in range(0, loom.steps, window):
+        steps = min(window, loom.steps - at)
+        place, begins, text = loom.window(at, steps)
+        h = h[: place.shape[1]]
+        before = np.where(begins, first, words[place - 1])
+        reset = begins.any(axis=1)
+        states = np.empty((steps, *h.shape), h.dtype)
+        for t in range(steps):
+            if reset[t]:
+                h = np.where(begins[t][:, None], 0, h)
+            h = states[t] = _step(p, table[before[t]], h)[0]
+        real = place >= 0
+        found = _likelihood(p, states[real], words[place[real]].astype(np.int64))
+        total += np.bincount(text[real], weights=found, minlength=len(total))
+    return total
+
 
+def gradient(p: Params, before: np.ndarray, target: np.ndarray, mask: np.ndarray, h: np.ndarray, begins: np.ndarray | None = None) -> tuple[float, Params, np.ndarray]:
+    """Mean loss, its gradient through one window (steps x lanes), and the state after it.
 
-def gradient(p: Params, before: np.ndarray, target: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[float, Params, np.ndarray]:
-    """Mean loss, its gradient through one window (steps x lanes), and the state after it."""
+    begins: where a text begins, and the state is 0 again.
+    """
     steps, lanes = before.shape
     n, size = h.shape[1], p["word"].shape[2]
-    states, tape = [], []
+    inputs = p["gates"][before] + p["bias"]
+    keep = None if begins is None else (~begins)[:, :, None].astype(h.dtype)
+    states, tape = np.empty((steps, lanes, n), h.dtype), []
     for t in range(steps):
-        last = h
-        h, parts = _step(p, p["gates"][before[t]] + p["bias"], h)
-        h = np.where(mask[t][:, None], h, last)
+        last = h if keep is None else h * keep[t]
+        h, parts = _step(p, inputs[t], last)
+        if not mask[t].all():
+            h = np.where(mask[t][:, None], h, last)
         tape.append((last, parts))
-        states.append(h)
-    flat, goal, real = np.concatenate(states), target.ravel(), mask.ravel()
-    count = max(1, int(real.sum()))
+        states[t] = h
+    # output layer, class by class
+    real = np.flatnonzero(mask.ravel())
+    order, classes = _by_class(target.ravel()[real], size)
+    real = real[order]
+    flat, goal = states.reshape(-1, n)[real], target.ravel()[real]
+    count = max(1, len(real))
+    rows = np.arange(len(real))
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    # output layer
-    classes = _log_softmax(flat @ p["class"] + p["class_bias"])
-    d = np.exp(classes)
-    d[np.arange(len(goal)), goal // size] -= 1
-    d[~real] = 0
+    found = _log_softmax(flat @ p["class"] + p["class_bias"])
+    loss = -float(found[rows, goal // size].sum())
+    d = np.exp(found)
+    d[rows, goal // size] -= 1
     d /= count
     g["class"], g["class_bias"] = flat.T @ d, d.sum(axis=0)
     back = d @ p["class"].T
-    loss = -classes[np.arange(len(goal)), goal // size][real].sum()
-    rows = np.flatnonzero(real)
-    for c, some in _by_class(goal[rows], size):
-        some = rows[some]
-        x = _log_softmax(flat[some] @ p["word"][c] + p["word_bias"][c])
-        loss -= x[np.arange(len(some)), goal[some] % size].sum()
+    for c, lo, hi in classes:
+        own, mine = goal[lo:hi] % size, rows[: hi - lo]
+        x = _log_softmax(flat[lo:hi] @ p["word"][c] + p["word_bias"][c])
+        loss -= float(x[mine, own].sum())
         d = np.exp(x)
-        d[np.arange(len(some)), goal[some] % size] -= 1
+        d[mine, own] -= 1
         d /= count
-        g["word"][c], g["word_bias"][c] = flat[some].T @ d, d.sum(axis=0)
-        back[some] += d @ p["word"][c].T
+        g["word"][c], g["word_bias"][c] = flat[lo:hi].T @ d, d.sum(axis=0)
+        back[lo:hi] += d @ p["word"][c].T
+    outer = np.zeros((steps * lanes, n), h.dtype)
+    outer[real] = back
+    outer = outer.reshape(steps, lanes, n)
     # through time, to the window's start
     later = np.zeros_like(h)
-    inputs = np.zeros((steps, lanes, 3 * n), np.float32)
+    given, turned = np.empty((steps, lanes, 3 * n), h.dtype), p["state"].T
     for t in range(steps - 1, -1, -1):
         last, (z, r, new, own) = tape[t]
-        dh = later + back[t * lanes : (t + 1) * lanes]
-        live = np.where(mask[t][:, None], dh, 0)
-        dz = live * (last - new) * z * (1 - z)
-        dn = live * (1 - z) * (1 - new * new)
+        dh = later + outer[t]
+        live = dh if mask[t].all() else np.where(mask[t][:, None], dh, 0)
+        held = live * z
+        dn = (live - held) * (1 - new * new)
         dr = dn * own * r * (1 - r)
-        pre = np.concatenate([dz, dr, dn * r], axis=1)
+        given[t, :, :n] = live * (last - new) * z * (1 - z)
+        given[t, :, n : 2 * n] = dr
+        given[t, :, 2 * n :] = dn
+        pre = given[t].copy()
+        pre[:, 2 * n :] *= r
         g["state"] += last.T @ pre
-        later = np.where(mask[t][:, None], live * z + pre @ p["state"].T, dh)
-        inputs[t] = np.concatenate([dz, dr, dn], axis=1)
-    flat_in = inputs.reshape(-1, 3 * n)
-    g["bias"] = flat_in.sum(axis=0)
-    np.add.at(g["gates"], before.ravel(), flat_in)
-    return float(loss) / count, g, h
+        following = held + pre @ turned
+        later = following if live is dh else np.where(mask[t][:, None], following, dh)
+        if keep is not None:
+            later = later * keep[t]
+    given = given.reshape(-1, 3 * n)
+    g["bias"] = given.sum(axis=0)
+    # sums by word
+    seen = before.ravel()
+    order = np.argsort(seen.astype(np.uint16) if len(p["gates"]) <= 1 << 16 else seen, kind="stable")
+    seen = seen[order]
+    cut = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
+    g["gates"][seen[cut]] = np.add.reduceat(given[order], cut, axis=0)
+    return loss / count, g, h
 
 
-def train(p: Params, texts: list[np.ndarray], first: int, epochs: int = 1, rate: float = 0.01, lanes: int = LANES, window: int = WINDOW) -> Params:
-    """Adam over windows of texts side by side, longest first; gradients end where a window begins, states don't."""
+def train(p: Params, words: np.ndarray, of: np.ndarray, first: int, rate: float = 0.01, lanes: int = LANES, window: int = WINDOW) -> Params:
+    """Adam over windows of texts side by side, one pass; gradients end where a window begins, states don't."""
     p = {k: v.copy() for k, v in p.items()}
     mean = {k: np.zeros_like(v) for k, v in p.items()}
     square = {k: np.zeros_like(v) for k, v in p.items()}
-    texts = sorted((x for x in texts if len(x)), key=len, reverse=True)
-    done, groups = 0, [texts[lo : lo + lanes] for lo in range(0, len(texts), lanes)]
-    for epoch in range(epochs):
-        for k in np.random.default_rng(epoch).permutation(len(groups)).tolist():
-            group = groups[k]
-            longest = len(group[0])
-            goal = np.zeros((longest, len(group)), np.int64)
-            mask = np.zeros((longest, len(group)), bool)
-            for i, x in enumerate(group):
-                goal[: len(x), i], mask[: len(x), i] = x, True
-            before = np.concatenate([np.full((1, len(group)), first), goal[:-1]])
-            h = np.zeros((len(group), p["state"].shape[0]), np.float32)
-            for at in range(0, longest, window):
-                part = slice(at, at + window)
-                live = mask[at]
-                _, g, h_live = gradient(p, before[part][:, live], goal[part][:, live], mask[part][:, live], h[live])
-                h[live] = h_live
-                done += 1
-                norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-                shrink = min(1.0, 1.0 / max(norm, 1e-9))
-                for name, v in g.items():
-                    v *= shrink
-                    mean[name] += 0.1 * (v - mean[name])
-                    square[name] += 0.01 * (v * v - square[name])
-                    p[name] -= rate * (mean[name] / (1 - 0.9**done)) / (np.sqrt(square[name] / (1 - 0.99**done)) + 1e-8)
+    loom = Loom(words, of, lanes)
+    h = np.zeros((len(loom.last), p["state"].shape[0]), p["state"].dtype)
+    for done, at in enumerate(range(0, loom.steps, window), 1):
+        place, begins, _ = loom.window(at, min(window, loom.steps - at))
+        real = place >= 0
+        before, goal = np.where(begins, first, words[place - 1]).astype(np.int64), np.where(real, words[place], 0).astype(np.int64)
+        before[~real] = first
+        _, g, h = gradient(p, before, goal, real, h[: place.shape[1]], begins)
+        norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+        shrink = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
+        up, down = np.float32(rate / (1 - 0.9**done)), np.float32(1 / (1 - 0.99**done))
+        for name, v in g.items():
+            v *= shrink
+            mean[name] += np.float32(0.1) * (v - mean[name])
+            square[name] += np.float32(0.01) * (v * v - square[name])
+            p[name] -= up * mean[name] / (np.sqrt(square[name] * down) + np.float32(1e-8))
     return p
 
 
-def average(models: list[Params], weights: list[float]) -> Params:
-    total = sum(weights)
-    return {k: sum(m[k] * np.float32(w / total) for m, w in zip(models, weights)) for k in models[0]}
-
-
 def pack(p: Params) -> bytes:
     return b"".join(p[k].astype("<f4").tobytes() for k in sorted(p))
 

@@ -2,16 +2,18 @@
 
 Counts of all words of all training documents are one table, spread over the cluster.  The network knows the most
 frequent `CLASSES * SIZE - 2` words, the end, and one place for all others; a word there is told apart by its add-one
-share among them, so the model is a distribution over the same words as the base.  It is trained by parameter averaging:
-all training documents, as numbers of words, are dealt over shards of SHARD documents at least, so that shards grow with
-the table; each shard runs truncated backpropagation on its own, and the averages start the next round over all of them.
+share among them, so the model is a distribution over the same words as the base.  It is trained by parameter averaging
+in one pass: every training document, as numbers of words, belongs to one of ROUNDS rounds and to one of its shards, of
+SHARD documents on average, so that shards grow with the table; each shard runs truncated backpropagation on its own,
+and the averages start the next round.
 
-Scoring keeps a bounded table of the TABLE most frequent words at hand; rarer words of a document are listed and joined
-to the counts.  A text's state is carried through all of its windows.
+Scoring keeps a bounded table of at most TABLE most frequent words at hand; rarer words of a document are listed and
+joined to the counts.  A text's state is carried through all of its windows.
 
 Null or empty texts are the end alone.  Null ids: scored, not held out, and not learned from.  Repeated rows count and
-are scored each.  Without training documents N and V are 0.  An empty table gives an empty result.  Other columns are
-ignored.
+are scored each.  Very long texts are read whole; they make a task longer, not larger.  Of words equally frequent at
+the edge of the known ones, those of the smaller hashes are known.  Without training documents N and V are 0.  An empty
+table gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ from . import gru, kernel, storage
 FOLDS, HELD = 7, 2
 CLASSES, SIZE = 32, 64
 TABLE = 1 << 18
-SHARD = 500
+SHARD = 2_500
 ROUNDS = 3
-#: Tasks of a round grow with its shards: all shards have tasks of their own up to TASKS, then this many share one.
-TASKS, TOGETHER = 64, 8
+#: Words that the network scores at once, many texts side by side.
+SCORED_WORDS = 4_000_000
 #: Sums of parameters that one task adds up at most.
 FAN = 32
 CHUNK_BYTES = 8 << 20
@@ -132,44 +134,47 @@ def _number(words: Words):
             for lo, hi, data, at in kernel.chunks(batch.column("text"), CHUNK_BYTES):
                 h, of = tokens(data, at)
                 ids = words.numbers(words.find(h), h).astype("<u2")
-                yield pa.RecordBatch.from_arrays([batch.column("shard").slice(lo, hi - lo), pa.array([ids[a:b].tobytes() for a, b in zip(of[:-1], of[1:])], pa.binary())], names=["shard", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("round").slice(lo, hi - lo), batch.column("shard").slice(lo, hi - lo), pa.array([ids[a:b].tobytes() for a, b in zip(of[:-1], of[1:])], pa.binary())], names=["round", "shard", "ids"])
 
     return run
 
 
 def _train(model: gru.Params):
     def run(key, table):
-        texts = [np.frombuffer(x.as_buffer(), "<u2").astype(np.int64) for x in table.column("ids")]
-        found = gru.train(model, texts, _END_ID)
-        return pa.table({"weight": pa.array([float(sum(map(len, texts)))]), "model": pa.array([gru.pack(found)], pa.binary())})
+        ids = table.column("ids").combine_chunks()
+        data, at = kernel.raw(ids)
+        words = data.view("<u2") if data.flags.aligned else np.frombuffer(data.tobytes(), "<u2")
+        found = gru.train(model, words, at // 2, _END_ID)
+        return pa.table({"weight": pa.array([float(len(words))]), "model": pa.array([gru.pack(found)], pa.binary())})
 
     return run
 
 
 def fit(training: DataFrame, words: Words, documents: int) -> tuple[gru.Params, list[int]]:
-    """The network after ROUNDS over all training documents, and how many words each round learned from."""
+    """The network after one pass over all training documents, and how many words each round learned from."""
     model, learned = gru.start(words.frequency, SIZE), []
     if not documents:
         return model, learned
-    shards = max(1, documents // SHARD)
-    tasks = max(min(shards, TASKS), shards // TOGETHER)
-    shard = F.pmod(F.xxhash64(F.lit("shard"), "doc_id", "text"), F.lit(shards)).alias("shard")
-    numbered = storage.save(training.select(shard, "text").mapInArrow(kernel.freed(_number(words)), "shard long, ids binary"), "numbered")
+    shards = max(1, round(documents / ROUNDS / SHARD))
+    draw = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "doc_id", "text"), F.lit(n)).alias(salt)
+    numbered = storage.save(training.select(draw("round", ROUNDS), draw("shard", shards), "text").mapInArrow(kernel.freed(_number(words)), "round long, shard long, ids binary"), "numbered")
     # parameters are of one size, and are summed where they are
     size = len(gru.pack(model))
-    for _ in range(ROUNDS):
-        dealt = numbered.repartition(tasks, "shard")
+    for k in range(ROUNDS):
+        # a shard is a task of its own
+        dealt = numbered.where(F.col("round") == k).repartition(shards, "shard")
         parts = dealt.groupBy("shard").applyInArrow(kernel.freed(_train(model)), "weight double, model binary").mapInArrow(kernel.freed(_partial_sum(size)), "weight double, model binary")
-        left = tasks
+        left = shards
         while True:
             left = -(-left // FAN)
             parts = parts.repartition(left).mapInArrow(kernel.freed(_partial_sum(size)), "weight double, model binary")
             if left == 1:
                 break
         part = parts.collect()[0]
-        mean = (np.frombuffer(part["model"], "<f8") / part["weight"]).astype("<f4")
-        model = gru.unpack(mean.tobytes(), model)
         learned.append(int(part["weight"]))
+        if learned[-1]:
+            mean = (np.frombuffer(part["model"], "<f8") / part["weight"]).astype("<f4")
+            model = gru.unpack(mean.tobytes(), model)
     storage.drop(numbered)
     return model, learned
 
@@ -177,7 +182,18 @@ def fit(training: DataFrame, words: Words, documents: int) -> tuple[gru.Params,
 def _score(words: Words, model: gru.Params):
     ten = np.log(10)
 
+    def scored(held: list[tuple]):
+        """Batches of rows, with the network's part of all of them."""
+        number = np.concatenate([x for _, x, _ in held])
+        of = np.concatenate([[0], np.cumsum(np.concatenate([n for _, _, n in held]))])
+        network = gru.score(model, number, of, _END_ID) / ten
+        at = 0
+        for columns, _, n in held:
+            yield pa.RecordBatch.from_arrays([*columns[:5], pa.array(columns[5] + network[at : at + len(n)]), *columns[6:]], names=[x.split()[0] for x in _SCORED.split(", ")])
+            at += len(n)
+
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             for lo, hi, data, at in kernel.chunks(batch.column("text"), CHUNK_BYTES):
                 h, of = tokens(data, at)
@@ -190,7 +206,6 @@ def _score(words: Words, model: gru.Params):
                 seen = np.concatenate([[0], np.cumsum(count > 0)])
                 others = np.concatenate([[0], np.cumsum(other)])
                 part = lambda x: x[of[1:]] - x[of[:-1]]
-                network = gru.score(model, number, of, _END_ID) / ten + part(logs_other) - part(others) * np.log10(words.others)
                 # words beyond the table: told apart by the counts on the cluster
                 rare = np.flatnonzero((place < 0) & (h != END))
                 text = np.searchsorted(of, rare, "right") - 1
@@ -199,13 +214,17 @@ def _score(words: Words, model: gru.Params):
                 new = np.append(True, (h[rare][1:] != h[rare][:-1]) | (text[1:] != text[:-1])) if len(rare) else np.zeros(0, bool)
                 first = np.flatnonzero(new)
                 offsets = pa.array(np.searchsorted(text[first], np.arange(hi - lo + 1)), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(lo, hi - lo), batch.column("rid").slice(lo, hi - lo), pa.array(np.diff(of)), pa.array(part(seen)), pa.array(part(logs)), pa.array(network),
-                        pa.ListArray.from_arrays(offsets, pa.array(h[rare][first].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(np.diff(first, append=len(rare)), pa.int64())),
-                    ],
-                    names=["doc_id", "rid", "n_tokens", "n_seen", "logs", "network", "rare", "times"],
-                )
+                columns = [
+                    batch.column("doc_id").slice(lo, hi - lo), batch.column("rid").slice(lo, hi - lo), pa.array(np.diff(of)), pa.array(part(seen)), pa.array(part(logs)), part(logs_other) - part(others) * np.log10(words.others),
+                    pa.ListArray.from_arrays(offsets, pa.array(h[rare][first].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(np.diff(first, append=len(rare)), pa.int64())),
+                ]
+                held.append((columns, number.astype("<u2"), np.diff(of)))
+                size += len(number)
+                if size >= SCORED_WORDS:
+                    yield from scored(held)
+                    held, size = [], 0
+        if held:
+            yield from scored(held)
 
     return run
 
@@ -213,6 +232,26 @@ def _score(words: Words, model: gru.Params):
 _SCORED = "doc_id long, rid long, n_tokens long, n_seen long, logs double, network double, rare array<long>, times array<long>"
 
 
+def frequent(counts: DataFrame, most: int = TABLE, known: int = CLASSES * SIZE) -> pa.Table:
+    """(h, c) of at most `most` frequent words, most frequent first: those of the upper bins of a histogram of counts.
+
+    The known words are among them; a bin that alone exceeds the bound is left to the join.
+    """
+    level = F.floor(F.log2("c") * 16)
+    bins = {r["level"]: r["count"] for r in counts.groupBy(level.alias("level")).count().collect()}
+    floor, held = None, 0
+    for x in sorted(bins, reverse=True):
+        held += bins[x]
+        if held > most:
+            break
+        floor = x
+    top = counts.where(level >= floor) if floor is not None else counts.limit(0)
+    found = top.toArrow().combine_chunks()
+    if len(found) < min(known, sum(bins.values())):
+        found = counts.orderBy(F.desc("c"), "h").limit(known).toArrow().combine_chunks()
+    return found.sort_by([("c", "descending"), ("h", "ascending")])
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -221,8 +260,7 @@ def score(docs: DataFrame) -> DataFrame:
     counts = storage.save(training.select("text").mapInArrow(kernel.freed(_count), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "counts")
     totals = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = totals["n"] or 0, totals["v"]
-    # bounded by TABLE rows
-    top = counts.orderBy(F.desc("c"), "h").limit(TABLE).toArrow()
+    top = frequent(counts)
     words = Words(top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy(), n, v)
 
     documents = training.count()

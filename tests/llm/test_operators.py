@@ -193,11 +193,30 @@ def test_language_model_learns_from_all_training_documents(spark):
     tested = [i for i, _ in rows if held(i)]
     assert all(abs(a[i].base_score - b[i].base_score) < 1e-9 for i in tested)
     assert max(abs(a[i].score - b[i].score) for i in tested) > 1e-3
-    # every round learns from every word and end of all training documents
+    # every word and end of all training documents is learned from once
     training = table([x for x in rows if not held(x[0])])
     n = training.count()
     seen = language_model.Words(np.zeros(0, np.uint64), np.zeros(0, np.int64), 13 * n, 0)
-    assert language_model.fit(training, seen, n)[1] == [13 * n] * language_model.ROUNDS
+    learned = language_model.fit(training, seen, n)[1]
+    assert len(learned) == language_model.ROUNDS and sum(learned) == 13 * n
+
+
+def direct(p, texts, of):
+    """Log-likelihoods word by word, from the definition."""
+    size, n = p["word"].shape[2], p["state"].shape[0]
+    out = []
+    for lo, hi in zip(of[:-1], of[1:]):
+        h, total, before = np.zeros(n), 0.0, 0
+        for w in texts[lo:hi]:
+            x, own = p["gates"][before] + p["bias"], h @ p["state"]
+            z, r = (1 / (1 + np.exp(-(x[k * n : (k + 1) * n] + own[k * n : (k + 1) * n]))) for k in (0, 1))
+            h = (1 - z) * np.tanh(x[2 * n :] + r * own[2 * n :]) + z * h
+            c = w // size
+            a, b = h @ p["class"] + p["class_bias"], h @ p["word"][c] + p["word_bias"][c]
+            total += a[c] - np.log(np.exp(a).sum()) + b[w % size] - np.log(np.exp(b).sum())
+            before = w
+        out.append(total)
+    return np.array(out)
 
 
 def test_gradients_and_carried_state():
@@ -213,8 +232,21 @@ def test_gradients_and_carried_state():
         down = gru.gradient(p, before, target, mask, h)[0]
         p[k][at] += 1e-5
         assert abs((up - down) / 2e-5 - g[k][at]) < 1e-6
+    # the state is 0 again where a text begins
+    begins = np.zeros((4, 3), bool)
+    begins[2, 0] = begins[0, 1] = True
+    _, g, _ = gru.gradient(p, before, target, mask, h, begins)
+    for k in p:
+        at = tuple(int(RNG.integers(0, s)) for s in p[k].shape)
+        p[k][at] += 1e-5
+        up = gru.gradient(p, before, target, mask, h, begins)[0]
+        p[k][at] -= 2e-5
+        down = gru.gradient(p, before, target, mask, h, begins)[0]
+        p[k][at] += 1e-5
+        assert abs((up - down) / 2e-5 - g[k][at]) < 1e-6
     texts = RNG.integers(0, 24, 300)
     of = np.array([0, 100, 100, 130, 300])
+    assert np.allclose(gru.score(p, texts, of, 0, lanes=2), direct(p, texts, of))
     assert np.allclose(gru.score(p, texts, of, 0, window=7), gru.score(p, texts, of, 0, window=500))
     # a distribution: the chances of all words at a place sum to one
     state = RNG.standard_normal((24, 5))[:1].repeat(24, axis=0)
