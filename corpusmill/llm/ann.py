@@ -1,7 +1,8 @@
 """Nearest neighbours by inner product with randomly rotated one-bit codes.
 
-Index: coarse centroids from a bounded sample (`SAMPLE` rows, chosen by a hash of the id); every row goes to the list of
-its nearest centroid and gets the signs of its randomly rotated residual, packed to bits, and three correction scalars:
+Index: coarse centroids from a bounded sample (at least `SAMPLE` rows, A_LIST for a list, MOST_SAMPLED at most, chosen by
+a hash of the id); their number grows with the square root of the table, up to a quarter of the sample.  Every row goes
+to the list of its nearest centroid and gets the signs of its randomly rotated residual, packed to bits, and three correction scalars:
 the residual's length, the code's inner product with the residual's direction, and the residual's with the centroid.
 Search: a query probes the lists whose centroids have the largest inner products with it.  For every row of a probed
 list the inner product is estimated from bits and scalars, with an error bound that holds with high probability; rows
@@ -31,10 +32,11 @@ from . import kernel
 
 TOP = 20
 SAMPLE = 8192
-LISTS = 1024
-RECALL = 0.97
+#: Sampled rows for a list, and rows sampled at most.
+A_LIST, MOST_SAMPLED = 16, 65_536
+RECALL = 0.99
 #: Error bounds hold for a row with a probability that rises with this.
-EPSILON = 2.2
+EPSILON = 2.5
 SEED = 7
 
 
@@ -112,9 +114,9 @@ def nearest(ids: np.ndarray, x: np.ndarray, bits: np.ndarray, scalars: np.ndarra
 class Index:
     """Centroids, rotation and how many lists to probe, from a sample."""
 
-    def __init__(self, sample: np.ndarray, rows: int, top: int, lists: int = LISTS, recall: float = RECALL):
+    def __init__(self, sample: np.ndarray, rows: int, top: int, recall: float = RECALL):
         self.turn = rotation(sample.shape[1])
-        n = int(max(1, min(lists, np.sqrt(rows) // 2, len(sample) // 16)))
+        n = int(max(1, min(np.sqrt(rows) // 2, len(sample) // (A_LIST if len(sample) < MOST_SAMPLED // 2 else 4))))
         rng = np.random.default_rng(SEED)
         centres = sample[rng.permutation(len(sample))[:n]]
         for _ in range(8):
@@ -166,9 +168,16 @@ def search(table: DataFrame, every: int = 20, top: int = TOP, id_column: str = "
     spark = table.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     rows = sound(table.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where("vec_id is not null"), "v")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+    total = rows.count()
+    # a share of the rows by a hash of their ids, so that no task gathers more than its share of it
+    wanted = int(min(MOST_SAMPLED, max(SAMPLE, A_LIST * np.sqrt(total) // 2)))
+    share = min(1.0, wanted / max(1, total))
+    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) < int(share * (1 << 40))).limit(2 * wanted).toArrow()
+    if not len(sample):
+        sample = rows.limit(1).toArrow()
     if not len(sample):
         return spark.createDataFrame([], schema)
+    sample = sample.take(pc.sort_indices(sample, sort_keys=[("vec_id", "ascending")]))
     dim = Counter(len(x) for x in sample.column("v")).most_common(1)[0][0]
     rows = rows.where(F.size("v") == dim)
     sample = sample.filter(pc.equal(pc.list_value_length(sample.column("v")), dim))
@@ -183,35 +192,28 @@ def search(table: DataFrame, every: int = 20, top: int = TOP, id_column: str = "
             home = index.home(x)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(home.astype(np.int32))], names=["vec_id", "v", "list"])
 
-    def best_known(q, ids, probed):
-        """The sample's best rows of the probed lists, and their scores: the k best found reach the least of these."""
-        best, score = np.zeros((len(q), top), np.int64), np.zeros((len(q), top))
+    def reached(q, ids, probed):
+        """For each query a score that twice as many rows of the probed lists as are wanted reach, by the sample.
+
+        Twice, so that a row that its bound loses leaves enough others.
+        """
+        score = np.full(len(q), -np.inf)
+        if len(known) <= 2 * top:
+            return score
         for lo in range(0, len(q), 256):
             part = slice(lo, lo + 256)
             dot = q[part] @ known.T
             member = np.zeros((len(dot), count), bool)
             np.put_along_axis(member, probed[part], True, axis=1)
             dot[(ids[part, None] == known_ids[None, :]) | ~member[:, known_home]] = -np.inf
-            best[part] = np.argpartition(dot, len(known) - top, axis=1)[:, len(known) - top :]
-            score[part] = np.take_along_axis(dot, best[part], axis=1)
-        return best, score
-
-    def to_known(batches):
-        """A query's rows of the sample are found anyway: the bounds, which may fail for a row, can't lose them."""
-        for batch in batches:
-            q, ids = matrix(batch.column("v")), batch.column("vec_id").to_numpy()
-            if len(known) <= top:
-                continue
-            best, score = best_known(q, ids, index.probed(q))
-            qa, k = np.nonzero(~np.isneginf(score))
-            xa = best[qa, k]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[qa]), pa.array(known_ids[xa]), pa.array(np.einsum("ij,ij->i", q[qa], known[xa]))], names=["query_id", "vec_id", "score"])
+            score[part] = np.partition(dot, len(known) - 2 * top, axis=1)[:, len(known) - 2 * top]
+        return score - 1e-9
 
     def to_probes(batches):
         for batch in batches:
             q, ids = matrix(batch.column("v")), batch.column("vec_id").to_numpy()
             probed = index.probed(q)
-            bar = best_known(q, ids, probed)[1].min(axis=1) - 1e-9 if len(known) > top else np.full(len(q), -np.inf)
+            bar = reached(q, ids, probed)
             at = np.repeat(np.arange(len(probed)), probed.shape[1])
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at)), batch.column("v").take(pa.array(at)), pa.array(probed.ravel().astype(np.int32)), pa.array(bar).take(pa.array(at))], names=["vec_id", "v", "list", "bar"])
 
@@ -245,6 +247,6 @@ def search(table: DataFrame, every: int = 20, top: int = TOP, id_column: str = "
     left = dealt(base, "block", blocks, "wave", waves).groupBy(*keys)
     right = dealt(asked, "wave", waves, "block", blocks).groupBy(*keys)
     found = left.cogroup(right).applyInArrow(kernel.freed(tile), "query_id long, vec_id long, score double")
-    found = found.unionByName(queries.mapInArrow(kernel.freed(to_known), "query_id long, vec_id long, score double")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

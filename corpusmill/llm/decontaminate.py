@@ -13,8 +13,9 @@ The index is built on the driver and sent with the tasks; it holds at most INDEX
 benchmark is searched in several passes, each over other items.
 
 Null or empty texts of documents: not contaminated.  Null or empty items, or items without words, match nothing; an
-item without an id is told apart by no id in the evidence but still found.  Repeated items are found each; repeated rows
-of documents are judged each.  An empty table gives an empty result.  Other columns are ignored or carried through.
+item without an id counts and is found, but no id stands for it in the evidence.  Repeated items are found each; repeated rows
+of documents are judged each.  Very long texts are searched passage by passage, very long items are one item each.  An
+empty table gives an empty result.  Other columns are ignored or carried through.
 """
 
 from __future__ import annotations
@@ -35,7 +36,9 @@ SLACK = 0.05
 OVERLAP = (80, 100)
 INDEX_BYTES = 16 << 20
 
-_SENTENCE = re.compile(r"(?<=[.!?。！？])\s+(?=\S)")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)|(?<=[。！？])\s*(?=\S)")
+#: Cells of bounds (passages x blocks) looked at in one step.
+CELLS = 1 << 22
 
 
 def parts(text: str) -> tuple[str, str]:
@@ -48,13 +51,42 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+def _alone(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first bytes of characters that are words of their own, and of those that are marks.
+
+    Scripts without spaces (U+3000 to U+DFFF, where Chinese, Japanese and Korean ones are, and full-width forms) have a
+    word in each character; their marks, and the general ones (U+2000 to U+206F), are in no word.
+    """
+    lead = np.flatnonzero(data >= 0xE2)
+    lead = lead[lead + 2 < len(data)]
+    first, second, third = data[lead], data[lead + 1], data[lead + 2]
+    code = (first.astype(np.int32) & 15) << 12 | (second.astype(np.int32) & 63) << 6 | third.astype(np.int32) & 63
+    three = (first < 0xF0) & (second >> 6 == 2) & (third >> 6 == 2)
+    mark = three & ((code >> 6 == 0x2000 >> 6) | (code >= 0x2040) & (code < 0x2070) | (code >= 0x3000) & (code < 0x3005) | (code >= 0x3008) & (code < 0x3021) | (code >= 0xFF00) & (code < 0xFF10) | (code >= 0xFF1A) & (code < 0xFF21) | (code >= 0xFF3B) & (code < 0xFF41) | (code >= 0xFF5B) & (code < 0xFF66) | (code == 0x30FB))
+    alone = three & ~mark & (code >= 0x3000) & (code < 0xFFF0) & ~((code >= 0xE000) & (code < 0xF900))
+    return lead[alone], lead[mark]
+
+
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of texts, and where each text's begin: runs of letters and digits, lower-cased.
 
-    Marks that a passage was pasted next to belong to no word.
+    Marks that a passage was pasted next to belong to no word; in scripts without spaces each character is a word.
     """
-    starts, ends, of = kernel.runs(data, at, _WORD)
     data = kernel.LOWER[data]
+    alone, marks = _alone(data) if len(data) and data.max() >= 0xE2 else (np.zeros(0, np.int64),) * 2
+    if not len(alone) and not len(marks):
+        starts, ends, of = kernel.runs(data, at, _WORD)
+    else:
+        # bytes of such characters and marks end the runs around them
+        other = data.copy()
+        for k in range(3):
+            other[alone + k] = 32
+            other[marks + k] = 32
+        starts, ends, _ = kernel.runs(other, at, _WORD)
+        starts, ends = np.concatenate([starts, alone]), np.concatenate([ends, alone + 3])
+        order = np.argsort(starts, kind="stable")
+        starts, ends = starts[order], ends[order]
+        of = np.searchsorted(starts, at)
     return kernel.span(data, kernel.rolling(data), starts, ends), of
 
 
@@ -136,11 +168,19 @@ class Index:
         second = np.flatnonzero((unit > 0) & follows[np.maximum(unit, 1) - 1])
         key = np.unique(np.concatenate([unit * width + term, (unit[second] - 1) * width + term[second]]))
         passage, term = key // width, key % width
-        size = self.bound_cut[term + 1] - self.bound_cut[term]
-        to = np.cumsum(size)
-        at = np.arange(to[-1] if len(to) else 0) - np.repeat(to - size - self.bound_cut[term], size)
-        bound = np.bincount(np.repeat(passage, size) * self.blocks + self.bound_block[at], weights=self.bound[at], minlength=units * self.blocks)
-        return np.divmod(np.flatnonzero(bound >= THRESHOLD - SLACK - 1e-9), self.blocks)
+        found = []
+        # some passages at a time, so that the bounds take no more memory with more items
+        step = max(1, CELLS // self.blocks)
+        cuts = np.searchsorted(passage, np.arange(0, units + step, step))
+        for k, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+            if lo == hi:
+                continue
+            size = self.bound_cut[term[lo:hi] + 1] - self.bound_cut[term[lo:hi]]
+            to = np.cumsum(size)
+            at = np.arange(to[-1]) - np.repeat(to - size - self.bound_cut[term[lo:hi]], size)
+            bound = np.bincount(np.repeat(passage[lo:hi] - k * step, size) * self.blocks + self.bound_block[at], weights=self.bound[at])
+            found.append(np.flatnonzero(bound >= THRESHOLD - SLACK - 1e-9) + k * step * self.blocks)
+        return np.divmod(np.concatenate(found) if found else np.zeros(0, np.int64), self.blocks)
 
     def above(self, term: np.ndarray, blocks: np.ndarray) -> list[tuple[int, float]]:
         """Items of some blocks that a passage's distinct terms score at or above the threshold, with their scores."""

@@ -12,7 +12,7 @@ The target and the boundary come from at most `LABELLED` labelled rows of each c
 their ids); raw counts cover all documents.
 
 Null or empty texts have no n-grams and weight 0: they are kept exactly if 0 reaches the k-th value with their noise.
-Null ids: noise of its own, label none.  Repeated rows have equal values, and ties at the k-th value are all taken.
+Null ids: noise by a hash of the text, label none.  Very long texts: all their n-grams count.  Repeated rows have equal values, and ties at the k-th value are all taken.
 Without labelled good rows the target equals the raw text and every document is taken.  An empty table gives an empty
 result.  Other columns are ignored by the score; the filter carries them through.
 """
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel, storage
@@ -107,7 +107,7 @@ def _score(ratio: np.ndarray):
                 weight.append(sums[of[1:]] - sums[of[:-1]])
                 n.append(np.diff(of))
             if weight:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(weight)), pa.array(np.concatenate(n), pa.int64())], names=["doc_id", "log_weight", "n_features"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("draw"), pa.array(np.concatenate(weight)), pa.array(np.concatenate(n), pa.int64())], names=["doc_id", "draw", "log_weight", "n_features"])
 
     return run
 
@@ -160,24 +160,38 @@ def labelled_ids(labels: DataFrame, column: str, most: int, where: str = "true")
     return parts[0].unionByName(parts[1])
 
 
+def draw(seed: int = SEED) -> Column:
+    """What a row's noise is drawn from: its id, or, without one, its text."""
+    return F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"))).otherwise(F.xxhash64(F.lit(seed), F.lit("text"), F.col("text").cast("string")))
+
+
 def weigh(docs: DataFrame, labels: DataFrame, most: int = LABELLED, seed: int = SEED) -> DataFrame:
     """doc_id, n_features, log_weight, perturbed, kept of every document."""
+    return _weighed(docs, labels, most, seed).drop("draw")
+
+
+def _weighed(docs: DataFrame, labels: DataFrame, most: int = LABELLED, seed: int = SEED) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # bounded by `most` rows of each class
     known = F.broadcast(labelled_ids(labels, "quality", most))
     raw = counts(texts)
     target = counts(texts.join(known.where("label = 1"), "doc_id", "left_semi"))
     ratio = log_ratio(target, raw)
-    noise = -F.log(-F.log((F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit(-1))), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))))
-    scored = storage.save(texts.mapInArrow(kernel.freed(_score(ratio)), "doc_id long, log_weight double, n_features long").withColumn("perturbed", F.col("log_weight") + noise), "weights")
-    rows = scored.join(known, "doc_id").select("log_weight", "label").toArrow()
+    noise = -F.log(-F.log((F.pmod("draw", F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))))
+    scored = storage.save(texts.withColumn("draw", draw(seed)).mapInArrow(kernel.freed(_score(ratio)), "doc_id long, draw long, log_weight double, n_features long").withColumn("perturbed", F.col("log_weight") + noise), "weights")
+    # a labelled id counts once, with the least weight of its rows
+    rows = scored.join(known, "doc_id").groupBy("doc_id", "label").agg(F.min("log_weight").alias("log_weight")).toArrow()
     cut = boundary(rows.column("log_weight").to_numpy(), rows.column("label").to_numpy())
     k = scored.where(F.col("log_weight") >= F.lit(cut)).count()
     kth = kth_largest(scored, "perturbed", k) if k else np.inf
-    return scored.select("doc_id", "n_features", "log_weight", "perturbed", (F.col("perturbed") >= F.lit(float(kth))).alias("kept"))
+    return scored.select("doc_id", "draw", "n_features", "log_weight", "perturbed", (F.col("perturbed") >= F.lit(float(kth))).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the sampler takes.  Rows of one id and different texts stay if any of them is taken."""
-    kept = weigh(docs, labels).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that the sampler takes.
+
+    Rows of one id and different texts stay if any of them is taken, and so do rows without an id that share a text.
+    """
+    gone = _weighed(docs, labels).groupBy("doc_id", "draw").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("_id"), F.col("draw").alias("_draw"))
+    # the draw of a row with an id is a function of it, so it alone is the join's key
+    return docs.withColumn("_own", draw()).join(gone, (F.col("_own") == F.col("_draw")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)

@@ -20,10 +20,12 @@ def bounded(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set (as in tests), a new local one is set and used."""
+    """The cluster's shared folder; where none is set, a new local one in local mode (as in tests), and an error elsewhere."""
     bounded(spark)
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.corpusmill.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
         spark.conf.set("spark.corpusmill.dir", root)
     return root.rstrip("/")

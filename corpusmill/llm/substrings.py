@@ -19,8 +19,9 @@ would bring all their pieces to one bucket and shard.  They are told by a sample
 root of the table, which settles the plan and no result: their pieces are cut into single strings, which are dealt and
 folded by a hash of all their bytes, so that a task sends one of each kind.
 
-Two pieces count as equal if their minimizers (48 bits) and the hashes of their bytes (64 bits, of another kind) are;
-longer pieces than the hash can tell apart for sure have a cryptographic one.  All other equalities are by bytes.
+Two pieces count as equal if 32 bits of their minimizers beside the bucket and the hashes of their bytes (64 bits, of
+another kind) are; longer pieces than the hash can tell apart have a cryptographic one.  All other equalities are by
+bytes.
 
 A task holds a bucket of about BUCKET_BYTES; a shard is streamed to the sorter's files and never held as a whole.
 
@@ -191,7 +192,7 @@ def _written(rows: np.ndarray, ids: np.ndarray) -> bytes:
     """Pieces in order of their texts, column by column, with the ids of the texts."""
     fresh = np.append(True, rows["d"][1:] != rows["d"][:-1])
     docs = rows["d"][fresh]
-    columns = [rows["h"].astype("<u4"), (rows["h"] >> np.uint64(32)).astype("<u2"), rows["c"], *_shed(rows["a"]), *_shed(rows["n"]), fresh.astype("u1"), docs, *_shed(ids[docs].astype("<i8"))]
+    columns = [rows["h"].astype("<u4"), rows["c"], *_shed(rows["a"]), *_shed(rows["n"]), fresh.astype("u1"), docs, *_shed(ids[docs].astype("<i8"))]
     return np.array([len(rows), len(docs)], "<u4").tobytes() + b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
 
 
@@ -208,7 +209,6 @@ def _read(blob) -> tuple[np.ndarray, np.ndarray]:
 
     rows = np.empty(n, _PIECE)
     rows["h"] = column("<u4", n)
-    rows["h"] |= column("<u2", n).astype("<u8") << np.uint64(32)
     rows["c"] = column("<u8", n)
     rows["a"] = column("<u2", n)
     rows["a"] |= column("<u2", n).astype("<u4") << np.uint32(16)
@@ -280,7 +280,9 @@ def _route(root: str, buckets: int, length: int, hot: np.ndarray):
             if mine.any():
                 out.append((-1 - k, chunk, _spans(p[mine]).tobytes(), b""))
             p = p[~mine]
+            # what the bucket doesn't tell of a minimizer fits 32 bits; should two agree in them, they are compared
             bucket = (p["h"] % np.uint64(buckets)).astype(np.int32)
+            p["h"] //= np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             p, bucket = p[order], bucket[order]
             out += [(int(bucket[lo]), chunk, b"", _written(p[lo:hi], ids)) for lo, hi in _cut(bucket)]
@@ -346,6 +348,7 @@ def _compare(key, table):
     parts = [_read(x.as_buffer()) for x in table.column("pieces").combine_chunks()]
     row = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p, _ in parts])
     p, docs = (np.concatenate(x) for x in zip(*parts))
+    p["h"] |= np.uint64(key[0].as_py()) << np.uint64(32)
     del parts
     # minimizers that occur once can't be shared
     order = np.argsort(p["h"])

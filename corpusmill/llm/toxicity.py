@@ -27,7 +27,8 @@ from . import kernel, quality
 EXAMPLES = 4_000
 FOLDS = 5
 K = 15
-TERMS = 512
+#: Terms at most that the driver takes.
+TERMS = 1 << 16
 #: A term counts whose frequencies in the two classes lie so many standard errors apart.
 APART = 4.0
 #: ... and one of which is so many times the other (half a document is added to either).

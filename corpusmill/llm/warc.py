@@ -1,16 +1,20 @@
 """WARC archives: a writer with revisit records and a salvage reader.
 
 Archives are files of gzip members, one record each, of at most about `ARCHIVE_BYTES`.  They are written to the shared
-folder through its own file system (pyarrow), under a name of the task's attempt that is then moved into place, so a
-task that runs again leaves no half archive; they are read back through Spark's binaryFile source.
+folder through its own file system (pyarrow), under names that no other attempt of a task has.  A table of what finished
+tasks wrote, committed by Spark, is the manifest: only its archives are read back, so a task that ran twice counts once.
 
 The salvage reader takes bytes as they come.  A member (or, in plain files, a record) that fails its checks - gzip CRC,
 length, version line, headers, block digest - doesn't end the file: the reader looks for the next place where a valid
-member or version line begins, recovers what follows, and logs the bytes between as a quarantined gap.
+member or version line begins, recovers what follows, and logs the bytes between as a quarantined gap.  Of a damaged
+member, what could be inflated is searched for records in the same way; those with a sound block digest are kept.
+
+round_trip() fails if the archives hold a gap or another number of records than was written.
 
 Null html: an empty payload.  Null url: the record has no target URI.  Null page_id: a record without that field, a
 response unless its payload is that of a page with an id.  Repeated rows are written each; rows of the smallest page_id
-of a payload are all responses.  An empty table makes no archive and no rows.  Other columns are ignored.
+of a payload are all responses.  Very long pages are one record each.  An empty table makes no archive and no rows.
+Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -101,48 +105,90 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return headers, block, stop + 4
 
 
-def inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """A whole gzip member and where it ends; raises Damaged."""
-    z = zlib.decompressobj(31)
+def inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What a gzip member holds, where it ends, and what is wrong with it, if anything; then the end is unknown."""
+    z, out, to = zlib.decompressobj(31), [], at
     try:
-        out = [z.decompress(data[at : at + (1 << 16)])]
-        to = at + (1 << 16)
         while not z.eof:
             if to >= len(data):
-                raise Damaged("the member doesn't end")
-            out.append(z.decompress(data[to : to + (1 << 16)]))
-            to += 1 << 16
+                return b"".join(out), len(data), "the member doesn't end"
+            # little by little, so that little is lost where it breaks
+            out.append(z.decompress(data[to : to + (1 << 12)]))
+            to += 1 << 12
     except zlib.error as e:
-        raise Damaged(str(e)) from e
-    return b"".join(out), min(to, len(data)) - len(z.unused_data)
+        # byte by byte through the piece that broke
+        z = zlib.decompressobj(31)
+        sound, to = [z.decompress(data[at:to])], to
+        try:
+            for k in range(to, min(len(data), to + (1 << 12))):
+                sound.append(z.decompress(data[k : k + 1]))
+        except zlib.error:
+            pass
+        return b"".join(sound), len(data), str(e)
+    return b"".join(out), min(to, len(data)) - len(z.unused_data), None
+
+
+class _Next:
+    """The next place of a mark at or after a position, found once."""
+
+    def __init__(self, data: bytes, mark: bytes):
+        self.data, self.mark, self.at = data, mark, -1
+
+    def __call__(self, at: int) -> int:
+        if self.at < at:
+            self.at = self.data.find(self.mark, at)
+            if self.at < 0:
+                self.at = len(self.data)
+        return self.at
+
+
+def _records(text: bytes, checked: bool) -> tuple[list[tuple[dict[str, str], bytes]], str | None]:
+    """Sound records of inflated text, and what the first unsound one lacks; checked: only those with a block digest."""
+    found, problem, at, following = [], None, 0, _Next(text, b"WARC/1.")
+    while at < len(text):
+        try:
+            headers, block, end = parse(text, at)
+            if checked and not headers.get("warc-block-digest", "").startswith("sha1:"):
+                raise Damaged("no block digest in a damaged member")
+        except Damaged as e:
+            problem = problem or str(e)
+            at = following(at + 1)
+            continue
+        found.append((headers, block))
+        at = end
+    return found, problem
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
-    """("record", from, to, (headers, block)) of every sound record and ("gap", from, to, reason) of all other bytes."""
+    """("record", from, to, (headers, block)) of every sound record and ("gap", from, to, reason) of all other bytes.
+
+    A damaged member is a gap, before which the records that were recovered from it come.
+    """
     at, bad, reason = 0, None, ""
+    member_at, version_at = _Next(data, _MEMBER), _Next(data, b"WARC/1.")
     while at < len(data):
-        found = []
-        try:
-            if data.startswith(_MEMBER, at):
-                text, end = inflate(data, at)
-                place = 0
-                while place < len(text):
-                    headers, block, place = parse(text, place)
-                    found.append((headers, block))
-            else:
+        found, problem, end, bounded = [], None, len(data), True
+        if data.startswith(_MEMBER, at):
+            text, end, problem = inflate(data, at)
+            bounded = problem is None
+            found, inner = _records(text, not bounded)
+            problem = problem or inner
+        else:
+            try:
                 headers, block, end = parse(data, at)
-                found.append((headers, block))
-        except Damaged as e:
-            if bad is None:
-                bad, reason = at, str(e)
-            after = [x for x in (data.find(_MEMBER, at + 1), data.find(b"WARC/1.", at + 1)) if x >= 0]
-            at = min(after, default=len(data))
-            continue
-        if bad is not None:
-            yield "gap", bad, at, reason
-            bad = None
-        for x in found:
-            yield "record", at, end, x
+                found = [(headers, block)]
+            except Damaged as e:
+                problem, bounded = str(e), False
+        if not bounded:
+            end = min(member_at(at + 1), version_at(at + 1))
+        if problem is None or found:
+            if bad is not None:
+                yield "gap", bad, at, reason
+                bad = None
+            for x in found:
+                yield "record", at, end, x
+        if problem is not None and bad is None:
+            bad, reason = at, problem
         at = end
     if bad is not None:
         yield "gap", bad, len(data), reason
@@ -165,23 +211,20 @@ def _digests(batches):
 def _writer(root: str, archive_bytes: int):
     def run(batches):
         from pyarrow import fs
-        from pyspark import TaskContext
 
-        context = TaskContext.get()
-        name = f"{context.partitionId():06d}" if context else "000000"
-        attempt = context.taskAttemptId() if context else 0
         system, base = fs.FileSystem.from_uri(root)
-        buffer, size, number, made = [], 0, 0, []
+        # no two attempts of a task share a name
+        attempt = uuid.uuid4().hex
+        buffer, size, made = [], 0, []
 
         def flush():
-            nonlocal buffer, size, number
-            final, draft = f"{base}/part-{name}-{number:05d}.warc.gz", f"{base}/.draft-{name}-{number:05d}-{attempt}"
-            with system.open_output_stream(draft, compression=None) as out:
+            nonlocal buffer, size
+            name = f"{attempt}-{len(made):05d}.warc.gz"
+            with system.open_output_stream(f"{base}/{name}", compression=None) as out:
                 for x in buffer:
                     out.write(x)
-            system.move(draft, final)
-            made.append((final, len(buffer), size))
-            buffer, size, number = [], 0, number + 1
+            made.append((name, len(buffer), size))
+            buffer, size = [], 0
 
         system.create_dir(base, recursive=True)
         for batch in batches:
@@ -195,14 +238,14 @@ def _writer(root: str, archive_bytes: int):
         if buffer:
             flush()
         if made:
-            path, records, n = zip(*made)
-            yield pa.RecordBatch.from_arrays([pa.array(path), pa.array(records, pa.int64()), pa.array(n, pa.int64())], names=["path", "records", "bytes"])
+            name, records, n = zip(*made)
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(records, pa.int64()), pa.array(n, pa.int64())], names=["archive", "records", "bytes"])
 
     return run
 
 
-def write(pages: DataFrame, root: str, min_payload_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write a record for every page to archives under `root`.
+def write(pages: DataFrame, root: str, min_payload_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Write a record for every page to archives under `root`; the manifest (archive, records, bytes) is returned.
 
     Only digests that more than one page has are joined back, so the join is small unless copies abound; copies of one
     payload may be a third of all rows, which the adaptive join splits, since the other side has one row for each.
@@ -213,36 +256,57 @@ def write(pages: DataFrame, root: str, min_payload_bytes: int = 0, archive_bytes
     key = F.when(F.col("payload_bytes") >= min_payload_bytes, F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")))
     joined = rows.withColumn("key", key).join(firsts, "key", "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    joined.select("page_id", "url", "html", "payload_digest", refers.alias("refers_to")).mapInArrow(kernel.freed(_writer(root, archive_bytes)), "path string, records long, bytes long").agg(F.sum("records")).collect()
+    written = joined.select("page_id", "url", "html", "payload_digest", refers.alias("refers_to")).mapInArrow(kernel.freed(_writer(root, archive_bytes)), "archive string, records long, bytes long")
+    return storage.save(written, "manifest")
 
 
 _READ = "archive string, start long, stop long, problem string, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 
 
+def _rows(path: str, data: bytes, want_payload: bool) -> Iterator[pa.RecordBatch]:
+    rows = []
+    for what, start, stop, found in salvage(data):
+        if what == "gap":
+            rows.append((path, start, stop, found, None, None, None, None, None, None, None))
+        else:
+            headers, block = found
+            payload = payload_of(block)
+            revisit = headers["warc-type"] == "revisit"
+            page, first = headers.get("x-page-id"), headers.get("x-refers-to-page-id")
+            rows.append((
+                path, start, stop, None, int(page) if page is not None else None, headers.get("warc-target-uri"), headers["warc-type"],
+                headers.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else digest(payload),
+                int(headers.get("x-payload-length", 0)) if revisit else len(payload),
+                int(first) if first is not None else None, payload if want_payload and not revisit else None,
+            ))
+        if len(rows) >= 2000:
+            yield _batch(rows)
+            rows = []
+    if rows:
+        yield _batch(rows)
+
+
 def _reader(want_payload: bool):
     def run(batches):
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                rows = []
-                for what, start, stop, found in salvage(content.as_py()):
-                    if what == "gap":
-                        rows.append((path, start, stop, found, None, None, None, None, None, None, None))
-                        continue
-                    headers, block = found
-                    payload = payload_of(block)
-                    revisit = headers["warc-type"] == "revisit"
-                    page, first = headers.get("x-page-id"), headers.get("x-refers-to-page-id")
-                    rows.append((
-                        path, start, stop, None, int(page) if page is not None else None, headers.get("warc-target-uri"), headers["warc-type"],
-                        headers.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else digest(payload),
-                        int(headers.get("x-payload-length", 0)) if revisit else len(payload),
-                        int(first) if first is not None else None, payload if want_payload and not revisit else None,
-                    ))
-                    if len(rows) >= 2000:
-                        yield _batch(rows)
-                        rows = []
-                if rows:
-                    yield _batch(rows)
+                yield from _rows(path, content.as_py(), want_payload)
+
+    return run
+
+
+def _listed(root: str):
+    """Rows of the archives that a manifest names."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for name in batch.column("archive").to_pylist():
+                with system.open_input_stream(f"{base}/{name}", compression=None) as f:
+                    data = f.read()
+                yield from _rows(name, data, False)
 
     return run
 
@@ -260,12 +324,16 @@ def read(spark, root: str, want_payload: bool = False) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, min_payload_bytes: int = 0) -> DataFrame:
-    """Write the pages to archives in the shared folder and read them back."""
+    """Write the pages to archives in the shared folder, read them back, and compare how many."""
     spark = pages.sparkSession
     root = storage.fresh_path(spark, "warc")
-    write(pages, root, min_payload_bytes)
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(root)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read(spark, root).where("problem is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    manifest = write(pages, root, min_payload_bytes)
+    archives = manifest.count()
+    found = storage.save(manifest.repartition(max(1, archives)).mapInArrow(kernel.freed(_listed(root)), _READ).drop("payload"), "archived")
+    written = manifest.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("n")).first()["n"]
+    read_back = found.agg(F.count_if(F.col("problem").isNull()).alias("records"), F.count_if(F.col("problem").isNotNull()).alias("gaps")).first()
+    if read_back["records"] != written or read_back["gaps"]:
+        raise RuntimeError(f"{written} records were written, {read_back['records']} read back, with {read_back['gaps']} gaps")
+    storage.remove(spark, root)
+    storage.drop(manifest)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

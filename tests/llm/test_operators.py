@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -361,6 +362,164 @@ def test_warc_salvage():
     assert [(a, b) for what, a, b, _ in found if what == "gap"] == [(at, at + len(made[2]))]
 
 
+def test_warc_salvage_within_a_member():
+    parts = [warc.record("response", i, "u", b"payload %d " % i * 40, warc.digest(b"payload %d " % i * 40)) for i in range(3)]
+    broken = bytearray(parts[1])
+    broken[-20] ^= 1
+    # a sound member of three records, the second of which is damaged
+    data = warc.member(parts[0] + bytes(broken) + parts[2])
+    found = list(warc.salvage(data))
+    assert [x[3][0]["x-page-id"] for x in found if x[0] == "record"] == ["0", "2"] and [x[:3] for x in found if x[0] == "gap"] == [("gap", 0, len(data))]
+    # a member whose stream breaks: what came before is kept, the next member is read
+    noise = [warc.record("response", i, "u", RNG.bytes(6000).hex().encode(), "x") for i in range(3)]
+    data = bytearray(warc.member(b"".join(noise)))
+    cut = len(data)
+    data[cut * 2 // 3 :] = RNG.bytes(cut - cut * 2 // 3)
+    data += warc.member(noise[0])
+    found = list(warc.salvage(bytes(data)))
+    assert [x[3][0]["x-page-id"] for x in found if x[0] == "record"] in (["0", "0"], ["0", "1", "0"])
+    assert sum(b - a for what, a, b, _ in found if what == "gap") == cut
+    # a third of a large file is damage: marks are looked for once
+    began = time.monotonic()
+    list(warc.salvage(b"\x1f\x8b\x08" * 20_000 + b"".join(parts)))
+    assert time.monotonic() - began < 20
+
+
+def test_warc_odd_rows(spark):
+    long = "x" * 3_000_000
+    rows = [(1, "u", "a", 7), (1, "u", "a", 7), (2, None, "a", None), (None, "u", "a", 7), (3, "u", long, 7), (4, "u", long, 7), (5, "u", None, 7)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest int")
+    got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.round_trip(df).collect()), key=repr)
+    assert got == sorted([(1, "response", None, 1), (1, "response", None, 1), (2, "revisit", 1, 1), (None, "revisit", 1, 1), (3, "response", None, 3_000_000), (4, "revisit", 3, 3_000_000), (5, "response", None, 0)], key=repr)
+    assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_html_by_structure(spark):
+    page = "<html><body><nav><a href=x>Home</a></nav>{}<footer>All rights reserved by somebody else.</footer></body></html>"
+    body = '<div class="{}"><p>This is a paragraph long enough to surge.</p><p><a href="x">A paragraph that is a link</a></p><p>A last paragraph that is as long.</p></div>'
+    whole = "This is a paragraph long enough to surge.\nA paragraph that is a link\nA last paragraph that is as long."
+    for name, want in (("long-form", whole), ("popular-science", whole), ("legal-news", whole), ("comment-list", ""), ("siteFooter", ""), ("post__comments--main", "")):
+        assert html.extract(page.format(body.format(name))) == want
+    assert html.extract("<p>Short one.</p>") == "Short one."
+    assert html.extract("<article><p>a <b title='x > y'>b</b> c</p></article>") == "a b c"
+    began = time.monotonic()
+    for bad in ("<a '", "<a <a ", "<a '><b>", "<a '>' ", "<script '", "<!--", "<p>x</b>"):
+        html.extract(bad * 20_000)
+    assert time.monotonic() - began < 30
+    rows = [(i, "u", page.format(body.format("x")), 5) for i in (1, 1, 2)] + [(3, None, "<p>" + "long text " * 200_000, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    got = html.extract_pages(df).collect()
+    assert [r.text for r in got[:3]] == [whole] * 3 and got[3].n_chars == 10 * 200_000 - 1
+    assert html.extract_pages(df.limit(0)).count() == 0
+
+
+def bm25(items, passage):
+    """Scores of a passage by definition: the BM25 sum over its distinct words, as a share of the item's own."""
+    split = lambda t: re.findall("[a-z0-9]+", low(t))
+    own = {i: Counter(split(t)) for i, t in items}
+    mean = sum(sum(c.values()) for c in own.values()) / len(own)
+    df = Counter(w for c in own.values() for w in c)
+    out = {}
+    for i, c in own.items():
+        n = sum(c.values())
+        part = {w: math.log1p((len(own) - df[w] + 0.5) / (df[w] + 0.5)) * k * 2.2 / (k + 1.2 * (0.25 + 0.75 * n / mean)) for w, k in c.items()}
+        out[i] = sum(part[w] for w in part.keys() & set(split(passage))) / sum(part.values())
+    return out
+
+
+def test_block_maxima_lose_no_item():
+    items = [(i, " ".join(RNG.choice(WORDS[:60], int(RNG.integers(5, 15))))) for i in range(60)]
+    index = decontaminate.Index([i for i, _ in items], [t for _, t in items])
+    for _ in range(40):
+        some = items[int(RNG.integers(60))][1].split()
+        passage = " ".join([*RNG.choice(WORDS[:60], 3), *some[: int(RNG.integers(3, len(some) + 1))]][: index.run])
+        h, of = decontaminate.words(np.frombuffer(passage.encode(), np.uint8), np.array([0, len(passage)]))
+        place, term = index.known(h)
+        first, blocks = index.candidates(np.zeros(len(place), np.int64), term, np.array([False]))
+        got = {index.ids[k]: s for k, s in index.above(np.unique(term), blocks)}
+        want = {i: s for i, s in bm25(items, passage).items() if s >= decontaminate.THRESHOLD}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in got)
+
+
+def test_leaks_in_scripts_without_spaces(spark):
+    item = "臺灣最高的山是哪一座山？玉山是臺灣最高的山，海拔三千九百五十二公尺。"
+    assert decontaminate.parts(item) == ("臺灣最高的山是哪一座山？", "玉山是臺灣最高的山，海拔三千九百五十二公尺。")
+    bench = spark.createDataFrame([(1, item), (2, "Which is the highest of all mountains? It is the one that no other one exceeds in height.")], "item_id long, text string")
+    rows = [(1, "昨天我在圖書館看書，其中一頁寫著「" + item + "」然後我就回家了。"), (2, "昨天我在圖書館看書，其中一頁寫著玉山很高。"), (3, "Before:Which is the highest of all mountains? It is the one that no other one exceeds in height—after.")]
+    got = {r.doc_id: r.item_ids for r in decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {1: [1], 2: [], 3: [2]}
+
+
+def test_codes_choose_the_neighbours():
+    x = RNG.standard_normal((3000, 32))
+    turn, centre = ann.rotation(32), np.zeros(32)
+    bits, scalars = ann.encode(x, centre, turn)
+    ids, asked = np.arange(3000), np.arange(0, 3000, 60)
+    best = {int(q): set(np.argsort(-np.where(ids == q, -np.inf, x @ x[q]))[:20].tolist()) for q in asked}
+
+    def recall(b):
+        bar = np.array([np.sort(x @ x[q])[-41] for q in asked])
+        found = defaultdict(set)
+        for q, v, s in zip(*ann.nearest(ids, x, b, scalars, asked, x[asked], bar, centre, turn, 20)):
+            found[int(q)].add(int(v))
+            assert abs(s - float(x[q] @ x[v])) < 1e-9
+        return sum(len(found[q] & best[q]) for q in best) / (20 * len(best))
+
+    assert recall(bits) > 0.97
+    # bits of other rows choose other rows
+    assert recall(np.roll(bits, 1, axis=0)) < 0.7
+
+
+def test_neighbours_with_repeated_ids_and_ties(spark):
+    rows = [(i, [1.0, float(i % 3)]) for i in range(60)] + [(20, [0.5, 0.0]), (21, [9.0, 9.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id = 40").orderBy("rank").collect()
+    q = [1.0, 1.0]
+    best = {}
+    for i, v in rows:
+        if i != 40:
+            best[i] = max(best.get(i, -9e9), sum(a * b for a, b in zip(q, v)))
+    assert [(r.vec_id, r.score) for r in got] == sorted(best.items(), key=lambda x: (-x[1], x[0]))[:20]
+
+
+def test_quality_equals_brute_force(spark):
+    rows = [(i, " ".join(RNG.choice(["aa", "bb", "cc", "7", "##"], 30))) for i in range(60)] + [(None, "aa bb"), (None, "aa bb"), (None, "## 7 ##"), (7, "anew")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 2), 0) for i in range(40)], "doc_id long, quality int, toxic int")
+
+    def units(t):
+        u = re.findall(r"[a-zA-Z]+|[0-9]+|[^a-zA-Z0-9\s]+", t or "")
+        return [*u, *["again" if a == b else (a, b) for a, b in zip(u, u[1:])]]
+
+    raw, good = Counter(x for _, t in rows for x in units(t)), Counter(x for i, t in rows if i is not None and i < 40 and i % 2 for x in units(t))
+    n, m, size = sum(raw.values()), sum(good.values()), quality.BUCKETS
+    q = lambda x: (raw[x] + 0.5) / (n + 0.5 * size)
+    want = sorted(round(sum(math.log((good[x] + 0.5 * size * q(x)) / (m + 0.5 * size) / q(x)) for x in units(t)), 6) for _, t in rows)
+    got = quality.weigh(df, lab).collect()
+    # no two units of so few share a bucket
+    assert sorted(round(r.log_weight, 6) for r in got) == want
+    assert len({r.perturbed - r.log_weight for r in got if r.doc_id is None}) == 2
+    assert sum(r.kept for r in got) >= 1
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality classifier", "near duplicates", "suffix-array dedup", "benchmark decontamination", "packing"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, h long"
+    rows = [(i, t, "en", None, None if t is None else len(t), None, 1) for i, t in ROWS]
+    for table, data, kind in (("labels", [(i, int(i % 3 > 0), 0) for i in range(40)], "doc_id long, quality int, toxic int"), ("benchmark", [(1, SHARED), (None, None)], "item_id long, text string")):
+        spark.createDataFrame(data, kind).write.parquet(f"{tmp_path}/{table}.parquet")
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name == "packing":
+                assert out.count() >= docs.count()
+            else:
+                assert out.schema.names == docs.schema.names and out.count() <= docs.count()
+
+
 def test_empty_tables(spark, labels):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     bench = spark.createDataFrame([], "item_id long, text string")
