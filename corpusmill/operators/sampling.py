@@ -37,10 +37,25 @@ def fixed(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
     return df.withColumn("_order", order_key(seed, *keys)).orderBy("_order", *keys).limit(n).drop("_order")
 
 
-def ranked(df: DataFrame, stratum: str, seed: int, *keys: str) -> DataFrame:
-    """With rank within and size of each stratum, in the seed's order."""
-    w = Window.partitionBy(stratum)
-    return df.withColumn("rank", F.row_number().over(w.orderBy(order_key(seed, stratum, *keys), *keys))).withColumn("size", F.count(F.lit(1)).over(w))
+#: Rows that one task numbers, about.
+A_RANGE = 500_000
+
+
+def ranked(df: DataFrame, stratum: str, seed: int, *keys: str, rows: int = A_RANGE) -> DataFrame:
+    """With rank within and size of each stratum, in the seed's order.
+
+    A stratum of many rows is dealt over ranges of the order key, as many as its size asks for; each range ranks its own,
+    and a table of one row for each range has how many come before.
+    """
+    at = df.withColumn("_order", order_key(seed, F.coalesce(F.col(stratum).cast("string"), F.lit("")), *keys))
+    sizes = df.groupBy(F.col(stratum).alias("_of")).agg(F.count(F.lit(1)).alias("size"))
+    at = at.join(sizes, F.col(stratum).eqNullSafe(F.col("_of"))).drop("_of").withColumn("_range", _buckets(F.col("_order"), F.ceil(F.col("size") / rows)))
+    counts = at.groupBy(F.col(stratum).alias("_of"), F.col("_range").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_of").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("_of", "_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    own = F.row_number().over(Window.partitionBy(stratum, "_range").orderBy("_order", *keys))
+    out = at.withColumn("_own", own).join(base, F.col(stratum).eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_at")))
+    return out.withColumn("rank", F.col("_own") + F.col("_base")).drop("_order", "_range", "_own", "_of", "_at", "_base")
 
 
 def stratified_sample(df: DataFrame, stratum: str, fraction: float, least: int, seed: int, *keys: str) -> DataFrame:
@@ -55,22 +70,24 @@ def stratified_holdout(df: DataFrame, stratum: str, fraction: float, seed: int,
     return ranked(df, stratum, seed, *keys).withColumn("held_out", F.col("rank") <= wanted).drop("rank", "size")
 
 
-def batches(df: DataFrame, size: int, seed: int, epoch: int, *keys: str, parts: int = 64) -> DataFrame:
+def batches(df: DataFrame, size: int, seed: int, epoch: int, *keys: str, parts: int | None = None) -> DataFrame:
     """An epoch's permutation: position and batch_id of every row, numbered without gathering rows in one task."""
     out = numbered(df.withColumn("_order", order_key(seed + epoch, *keys)), "_order", parts=parts)
     return out.withColumn("batch_id", F.floor(F.col("position") / size).cast("long")).drop("_order")
 
 
-def _buckets(order: Column, parts: int) -> Column:
+def _buckets(order: Column, parts: int | Column) -> Column:
     """Ranges of a hex order key, as even as its hash."""
     return F.floor(F.conv(F.substring(order, 1, 8), 16, 10).cast("double") * parts / 2**32).cast("int")
 
 
-def numbered(df: DataFrame, order: str, weight: Column | None = None, name: str = "position", parts: int = 64) -> DataFrame:
+def numbered(df: DataFrame, order: str, weight: Column | None = None, name: str = "position", parts: int | None = None) -> DataFrame:
     """Exclusive running sum of a weight (1: the row's number) in the order of a hash key.
 
-    Rows are dealt over ranges of the key; each range sums its own, and a table of one row for each range has the rest.
+    Rows are dealt over ranges of the key (`parts`, or as many as the number of rows asks for); each range sums its own,
+    and a table of one row for each range has the rest.
     """
+    parts = parts or max(8, -(-df.count() // A_RANGE))
     weight = F.lit(1) if weight is None else weight
     rows = df.withColumn("_range", _buckets(F.col(order), parts)).withColumn("_weight", weight.cast("long"))
     sums = rows.groupBy("_range").agg(F.sum("_weight").alias("_sum"))
@@ -81,7 +98,7 @@ def numbered(df: DataFrame, order: str, weight: Column | None = None, name: str
     return rows.withColumn("_own", local).join(F.broadcast(base), "_range").withColumn(name, F.col("_own") + F.col("_base")).drop("_range", "_weight", "_own", "_base")
 
 
-def byte_budget(df: DataFrame, text: Column, target: int, seed: int, *keys: str, parts: int = 64) -> DataFrame:
+def byte_budget(df: DataFrame, text: Column, target: int, seed: int, *keys: str, parts: int | None = None) -> DataFrame:
     """Rows in shuffled order until their UTF-8 bytes reach the target; the row that crosses it is in."""
     out = numbered(df.withColumn("_order", order_key(seed, *keys)).withColumn("bytes", F.octet_length(text).cast("long")), "_order", F.col("bytes"), "bytes_before", parts)
     return out.where(F.col("bytes_before") < target).drop("_order")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.plans import corpus, dialogue, records
+from corpusmill.plans import corpus, dialogue, evaluation, records
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = corpus.QUERIES | records.QUERIES | dialogue.QUERIES
-ORACLE_SQL: dict[str, str] = corpus.ORACLE_SQL | records.ORACLE_SQL | dialogue.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = corpus.QUERIES | records.QUERIES | dialogue.QUERIES | evaluation.QUERIES
+ORACLE_SQL: dict[str, str] = corpus.ORACLE_SQL | records.ORACLE_SQL | dialogue.ORACLE_SQL | evaluation.ORACLE_SQL

@@ -30,7 +30,7 @@ _GRAMS = "list_distinct(list_transform(range(1, length({0})), lambda i: substr({
 
 
 @query(
-    "WITH n AS (SELECT count(DISTINCT conv_id) AS n FROM conversations), q AS (SELECT item_id AS qid, item_id % n AS p, left(text, 80) AS question FROM benchmark, n), "
+    "WITH n AS (SELECT count(DISTINCT conv_id) AS n FROM conversations), q AS (SELECT item_id AS qid, item_id % n AS p, text AS question FROM benchmark, n), "
     f"s AS (SELECT qid, turn, text, len(list_intersect({_GRAMS.format('question')}, {_GRAMS.format('text')})) AS score FROM q JOIN conversations ON conv_id = p), "
     "w AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY qid ORDER BY score DESC, turn DESC ROWS UNBOUNDED PRECEDING) AS used FROM s WHERE score > 0) "
     "SELECT qid, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE used <= 1200), '') AS context FROM q LEFT JOIN w USING (qid) GROUP BY qid"
@@ -38,7 +38,7 @@ _GRAMS = "list_distinct(list_transform(range(1, length({0})), lambda i: substr({
 def keyword_retrieval(spark, sf_dir):
     turns = _turns(spark, sf_dir)
     n = turns.select("persona_id").distinct().count()
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), (F.col("item_id") % n).alias("persona_id"), F.left("text", F.lit(80)).alias("question"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), (F.col("item_id") % n).alias("persona_id"), F.col("text").alias("question"))
     return R.keyword(turns, asked, 1200)
 
 
@@ -80,6 +80,17 @@ _ASKED = [
 ]
 
 
+#: Questions that want a number worked out; a lexicon of the caller's, like the topics.
+_RULES = (
+    R.Rule("siblings", (("兄弟姊妹", "手足"), ("連我", "總共")), ("女兒", "兒子", "租"), 1, "個"),
+    R.Rule("rent", (("租",), ("一年", "每年")), (), 12, "元"),
+    R.Rule("until", (("女兒",), ("成年",)), ("兒子",), r"(\d+)\s*歲", "年", 18),
+    R.Rule("later", (("兒子",), ("明年", "後年")), ("女兒",), ((("後年",), 2),), "歲", 1),
+    R.Rule("apart", (("女兒",), ("兒子",), ("差",)), (), 0, "歲"),
+    R.Rule("together", (("女兒",), ("兒子",), ("加起來", "總共")), (), 0, "歲"),
+)
+
+
 def _dialogue(spark):
     told = inline(spark, "persona_id int, pos int, text string", _TOLD)
     return R.ingest(told), inline(spark, "qid int, persona_id int, question string, want string", _ASKED).drop("want")
@@ -88,12 +99,12 @@ def _dialogue(spark):
 @query(f"SELECT qid, context FROM {values('qid, persona_id, question, context', _ASKED)}")
 def query_expansion_retrieval(spark, sf_dir):
     memory, asked = _dialogue(spark)
-    return R.retrieve(memory, asked, _TOPICS)
+    return R.retrieve(memory, asked, _TOPICS, _RULES)
 
 
 @query(f"SELECT qid, CASE WHEN context LIKE '計算%' THEN context END AS answer FROM {values('qid, persona_id, question, context', _ASKED)}")
 def calc_answer(spark, sf_dir):
-    return R.computed(*_dialogue(spark))
+    return R.computed(*_dialogue(spark), _RULES)
 
 
 _FACTS = [(1, "daughter", 6), (1, "son", 8), (2, "rent", 15000), (2, "siblings", 2)]
@@ -159,22 +170,39 @@ def action_prompt(spark, sf_dir):
 
 @query()
 def persona_generate(spark, sf_dir):
-    """How many questions of each type and letter sixty generated personas get."""
+    """How many questions of each type and letter generated personas get, one for each conversation."""
     from corpusmill.operators.personas import generate
 
-    asked = generate(spark, 60, 1).select(F.explode("questions").alias("q"))
+    n = table(spark, sf_dir, "conversations").select("conv_id").distinct().count()
+    asked = generate(spark, n, 1).select(F.explode("questions").alias("q"))
     return asked.groupBy(F.col("q.type").alias("type"), F.col("q.answer").alias("answer")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def tool_items_generate(spark, sf_dir):
+    """How many generated tool items of each kind want a call, one item for each conversation."""
+    from corpusmill.operators.personas import generate_tools
+
+    n = table(spark, sf_dir, "conversations").select("conv_id").distinct().count()
+    return generate_tools(spark, n, 1).groupBy("kind", F.get_json_object("expected", "$.action").alias("action")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _drained(stream, mode: str):
-    """All rows that a stream over files yields, in a table of memory."""
-    import tempfile
-    import uuid
-
-    spark, name = stream.sparkSession, f"stream_{uuid.uuid4().hex}"
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpusmill-stream-")
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{root.rstrip('/')}/{name}").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """All rows that a stream over files yields, written to files in the shared folder and read back."""
+    from corpusmill.sources.files import shared_path
+
+    spark = stream.sparkSession
+    out, at = shared_path(spark, "stream"), shared_path(spark, "stream-checkpoint")
+    writer = stream.writeStream.option("checkpointLocation", at).trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", out).outputMode("append").start().awaitTermination()
+    else:
+        # a file sink takes no updates: each batch of them is a folder of its own, written anew if the batch is
+        writer.outputMode(mode).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).start().awaitTermination()
+        at = spark._jvm.org.apache.hadoop.fs.Path(out)
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(out)
 
 
 def _conversation_stream(spark, sf_dir):

@@ -48,7 +48,7 @@ def conversation_build(spark, sf_dir):
 
 
 @query(
-    "WITH s AS (SELECT lang, string_agg(left(text, 20), '|' ORDER BY doc_id) AS shots FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) WHERE r <= 3 GROUP BY lang) SELECT doc_id, shots FROM documents JOIN s USING (lang)"
+    "WITH s AS (SELECT lang, string_agg(text, '|' ORDER BY doc_id) AS shots FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) WHERE r <= 3 GROUP BY lang) SELECT doc_id, shots FROM documents JOIN s USING (lang)"
 )
 def fewshot_topk(spark, sf_dir):
     """The first three texts of a language, attached to each of its rows."""
@@ -56,7 +56,7 @@ def fewshot_topk(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     first = docs.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).where("r <= 3")
-    shots = first.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("r", F.left("text", F.lit(20)).alias("t")))).alias("x")).select("lang", F.array_join(F.transform("x", lambda x: x["t"]), "|").alias("shots"))
+    shots = first.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("r", F.col("text").alias("t")))).alias("x")).select("lang", F.array_join(F.transform("x", lambda x: x["t"]), "|").alias("shots"))
     return docs.join(F.broadcast(shots), "lang").select("doc_id", "shots")
 
 
@@ -168,14 +168,17 @@ def question_audit(spark, sf_dir):
 
 
 @query(
-    "WITH t AS (SELECT conv_id, turn, len(list_filter(string_split(text, ' '), lambda x: x <> '')) AS n FROM conversations), m AS (SELECT *, max(n) OVER (PARTITION BY turn) AS longest FROM t) SELECT conv_id, turn, CAST(longest AS BIGINT) AS padded_length, CAST(longest - n AS BIGINT) AS pads, CAST(least(n, 4) AS BIGINT) AS masked FROM m"
+    "WITH t AS (SELECT conv_id, turn, len(list_filter(string_split(text, ' '), lambda x: x <> '')) AS n FROM conversations), m AS (SELECT *, max(n) OVER (PARTITION BY b) AS longest FROM (SELECT *, (row_number() OVER (ORDER BY sha256('7:' || conv_id || ':' || turn)) - 1) // 32 AS b FROM t)) SELECT conv_id, turn, CAST(longest AS BIGINT) AS padded_length, CAST(longest - n AS BIGINT) AS pads, CAST(least(n, 4) AS BIGINT) AS masked FROM m"
 )
 def label_mask_pad(spark, sf_dir):
-    """The first four tokens of a turn are its prompt; a batch is all turns of one number."""
+    """The first four tokens of a turn are its prompt; a batch is 32 turns of a seeded order."""
+    from corpusmill.operators import sampling as S
+
     tokens = F.transform(F.filter(F.split("text", " "), lambda x: x != ""), lambda x: F.length(x).cast("long"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", tokens.alias("t"))
     ids, labels = P.masked(F.slice("t", 1, 4), F.slice("t", 5, 1 << 30))
-    out = P.padded(rows.select("conv_id", "turn", ids.alias("ids"), labels.alias("labels")), "ids", "turn", -1)
+    dealt = S.batches(rows, 32, 7, 0, "conv_id", "turn")
+    out = P.padded(dealt.select("conv_id", "turn", "batch_id", ids.alias("ids"), labels.alias("labels")), "ids", "batch_id", -1)
     return out.select("conv_id", "turn", F.size("ids").cast("long").alias("padded_length"), F.size(F.filter("ids", lambda x: x == -1)).cast("long").alias("pads"), F.size(F.filter("labels", lambda x: x == -100)).cast("long").alias("masked"))
 
 
