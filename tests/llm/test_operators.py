@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import time
 import zlib
@@ -538,3 +539,22 @@ def test_kernel_spans():
     a = np.frombuffer(b"xx hello yy hello", np.uint8)
     h = kernel.span(a, kernel.rolling(a), np.array([3, 12, 2]), np.array([8, 17, 7]))
     assert h[0] == h[1] != h[2]
+
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.mark.parametrize("name", ["op5_minhash", "op7_warc", "op8_induced"])
+def test_queries_equal_sql(spark, name):
+    import duckdb
+
+    from corpusmill.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    result = con.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in result.description]
+    df = queries.QUERIES[name](spark, SF)
+    assert sorted(names) == sorted(df.columns)
+    assert sorted((tuple(r[n] for n in names) for r in df.collect()), key=repr) == sorted(result.fetchall(), key=repr)
