@@ -13,6 +13,7 @@ rows are packed each.  An empty table gives an empty result.  Other columns are
 
 from __future__ import annotations
 
+import warnings
 import zlib
 
 import numpy as np
@@ -90,7 +91,8 @@ def best_pattern(price: np.ndarray, room: int) -> tuple[float, np.ndarray]:
 def solve(demand: dict[int, int], room: int, steps: int = 3000) -> list[tuple[np.ndarray, float]]:
     """The linear program: patterns and how often to use each, so that every bin's demand is met exactly.
 
-    The basis inverse is updated in product form; plan() only ever uses what demand is left, so a rounding error in it
+    A pattern enters only while it is worth more than one sequence; should `steps` patterns not be enough, which is said in
+    a warning, the program's last solution costs more padding and loses no piece.  The basis inverse is updated in product form; plan() only ever uses what demand is left, so a rounding error in it
     costs a little padding and no piece.
     """
     sizes = sorted(b for b, n in demand.items() if n > 0)
@@ -118,6 +120,8 @@ def solve(demand: dict[int, int], room: int, steps: int = 3000) -> list[tuple[np
         row = inverse[out] / direction[out]
         inverse = inverse - np.outer(direction, row)
         inverse[out] = row
+    else:
+        warnings.warn(f"the linear program was left after {steps} patterns, before its optimum", stacklevel=2)
     x = inverse @ want
     patterns = []
     for k in range(m):

@@ -10,7 +10,8 @@ by 1 / (distance + SOFT) and by how many labelled rows an example of its class s
 logistic curve, fitted to the examples' own leave-one-out shares, turns into the score.
 
 Null or empty texts, and texts without such terms, have only the common coordinate: the score of ordinary texts.  Null
-ids are scored alike, with held_out null counted as false.  Repeated rows score alike.  Without labelled rows of both
+ids are scored alike, with held_out null counted as false.  Repeated rows score alike, and so do very long texts, all of
+whose terms count.  Of terms equally far apart at the bound TERMS those of the smaller hashes are taken.  Without labelled rows of both
 classes every score is the share of toxic rows (0 without any).  An empty table gives an empty result.  Other columns
 are ignored.
 """
