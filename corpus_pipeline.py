@@ -56,10 +56,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, earlier = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
         docs = storage.save(out, f"stage{k}")
+        # what a stage has read isn't needed once its result is written
+        if earlier is not None:
+            storage.drop(earlier)
+        earlier = docs
     return docs
