@@ -20,6 +20,7 @@ def utrim(c: Column | str) -> Column:
 
 def markdown_to_plain(c: Column | str) -> Column:
     """Headers, bold, italic and underscore marks go, blank lines collapse; only a line feed ends a line ((?d))."""
+    # The marks that go, in this order.
     c = F.regexp_replace(c, rf"(?mdU)^#{{1,6}}{_BLANK}*", "")
     c = F.regexp_replace(c, r"(?d)\*\*(.*?)\*\*", "$1")
     c = F.regexp_replace(c, r"(?d)(?<!\*)\*(?!\*)(.*?)(?<!\*)\*(?!\*)", "$1")

@@ -14,39 +14,36 @@ from pyspark.sql.functions import pandas_udf
 
 from corpusmill.operators.metrics import is_close
 
-_TAGGED = re.compile(r"<tool_call>\s*(\{.*?\})\s*</tool_call>", re.S)
-_SHORT = re.compile(r"<call>\s*([A-Za-z_]+)\s*(\{.*?\})?\s*</call>", re.S)
+# How models write a call.
+TAGGED = r"<tool_call>\s*(?P<object>\{.*?\})\s*</tool_call>"
+SHORT = r"<call>\s*(?P<name>[A-Za-z_]+)\s*(?P<args>\{.*?\})?\s*</call>"
+
+#: Notations by the mark that announces them, in the order in which they are looked for.
+NOTATIONS: tuple[tuple[str, re.Pattern], ...] = (("<tool_call>", re.compile(TAGGED, re.S)), ("<call>", re.compile(SHORT, re.S)))
 CALL = "has_call boolean, parsed boolean, tool string, args string"
 
 
-def _object(text):
-    found = json.loads(text) if isinstance(text, str) else text
-    if not isinstance(found, dict):
-        raise ValueError("not an object")
-    return found
+def _object(text) -> dict | None:
+    """A JSON object, given as such or as text."""
+    try:
+        found = json.loads(text) if isinstance(text, str) else text
+    except ValueError:
+        return None
+    return found if isinstance(found, dict) else None
 
 
 def _read(text: str | None) -> tuple[bool, bool, str | None, str | None]:
-    text = text or ""
-    tagged = "<tool_call>" in text
-    if not tagged and "<call>" not in text:
-        return False, False, None, None
-    m = (_TAGGED if tagged else _SHORT).search(text)
+    """(a call is announced, it is sound, the tool if it is told, the arguments if sound)."""
+    pattern = next((p for mark, p in NOTATIONS if mark in (text or "")), None)
+    m = pattern.search(text) if pattern else None
     if m is None:
-        return True, False, None, None
-    name = None if tagged else m[1]
-    try:
-        if tagged:
-            call = _object(m[1])
-            args, said = _object(call.get("arguments", {})), call.get("name")
-            if not isinstance(said, str):
-                raise ValueError("no name")
-            name = said
-        else:
-            args = _object(m[2]) if m[2] else {}
-    except ValueError:
-        return True, False, None if tagged else name, None
-    return True, True, name, json.dumps(args, ensure_ascii=False)
+        return pattern is not None, False, None, None
+    told = m.groupdict()
+    whole = _object(told["object"]) or {} if "object" in told else {"name": told["name"], "arguments": told["args"] or {}}
+    name, args = whole.get("name"), _object(whole.get("arguments", {}))
+    sound = isinstance(name, str) and args is not None
+    # the short notation tells the tool even where its arguments are broken
+    return True, sound, name if sound or "name" in told else None, json.dumps(args, ensure_ascii=False) if sound else None
 
 
 def parse(text: Column | str) -> Column:

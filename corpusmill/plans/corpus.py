@@ -16,7 +16,23 @@ QUERIES, ORACLE_SQL = query.queries, query.sql
 _BLANKS = r" ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || '　"
 
 
-@query()
+#: Where the first piece of a paragraph's rest ends: after the last sentence end of a full window, or with it.
+_CUT = "CASE WHEN length(rest) > 400 THEN coalesce(nullif(length(regexp_extract(left(rest, 400), '(?s)^(.*[。！？；.!?])', 1)), 0), 400) ELSE length(rest) END"
+#: Plain text of Markdown.  RE2 can't look behind, so runs of stars stand aside (as \\x02) while single ones go in pairs.
+_PLAIN = r"regexp_replace(text, '(?m)^#{1,6}\s*', '', 'g')"
+for _mark, _by in ((r"\*\*(.*?)\*\*", r"\1"), (r"\*\*\*", "\x02\x02\x02"), (r"\*\*", "\x02\x02"), (r"\x02\*", "\x02\x02"), (r"\*(.*?)\*", r"\1"), (r"\x02", "*"), (r"_(.*?)_", r"\1"), (r"\n{2,}", "\n")):
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_mark}', '{_by}', 'g')"
+#: Chunks (doc_id, nth, chunk): one recursion cuts paragraphs, another packs the pieces.
+_CHUNKS = rf"""WITH RECURSIVE t AS (SELECT doc_id, lang, string_split(trim({_PLAIN}, '{_BLANKS}'), chr(10)) AS lines FROM documents WHERE text <> ''),
+p AS (SELECT doc_id, i AS para, trim(lines[i], '{_BLANKS}') AS x FROM t, unnest(range(1, len(lines) + 1)) AS u(i)),
+c AS (SELECT doc_id, para, 0 AS n, '' AS piece, x AS rest FROM p WHERE x <> '' UNION ALL SELECT doc_id, para, n + 1, trim(left(rest, {_CUT}), '{_BLANKS}'), substr(rest, {_CUT} + 1) FROM c WHERE rest <> ''),
+q AS (SELECT doc_id, piece, row_number() OVER (PARTITION BY doc_id ORDER BY para, n) AS r FROM c WHERE piece <> ''),
+k AS (SELECT doc_id, r, piece AS held, NULL::VARCHAR AS done FROM q WHERE r = 1 UNION ALL SELECT k.doc_id, q.r, CASE WHEN length(held) + 1 + length(piece) <= 400 THEN held || chr(10) || piece ELSE piece END, CASE WHEN length(held) + 1 + length(piece) <= 400 THEN NULL ELSE held END FROM k JOIN q ON q.doc_id = k.doc_id AND q.r = k.r + 1),
+h AS (SELECT doc_id, r, done AS chunk FROM k WHERE done IS NOT NULL UNION ALL SELECT doc_id, max(r) + 1, arg_max(held, r) FROM k GROUP BY doc_id),
+g AS (SELECT doc_id, chunk, row_number() OVER (PARTITION BY doc_id ORDER BY r) - 1 AS nth FROM h WHERE length(chunk) >= 150) """
+
+
+@query(_CHUNKS + "SELECT lang, count(DISTINCT t.doc_id) AS articles, count(*) FILTER (WHERE chunk IS NULL) AS skipped, count(chunk) AS chunks, CAST(coalesce(sum(length(chunk)), 0) AS BIGINT) AS chars FROM t LEFT JOIN g USING (doc_id) GROUP BY lang")
 def corpus_chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of at most 400 and at least 150 characters by language."""
     docs = table(spark, sf_dir, "documents").where("text <> ''")
@@ -25,20 +41,9 @@ def corpus_chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("articles"), F.count_if(F.col("n") == 0).alias("skipped"), F.sum("n").alias("chunks"), F.sum("chars").alias("chars"))
 
 
-_SAMPLES = [
-    (1, "# 標題\n\n**粗體**與*斜體*", "標題\n粗體與斜體"),
-    (2, "***x*** a_b_c", "x abc"),
-    (3, "　前後空白　", "前後空白"),
-    (4, "a\r## b\n##   c", "a\r## b\nc"),
-    (5, "", ""),
-    (6, "😀 _底線_\n\n\n尾", "😀 底線\n尾"),
-    (7, "**a *b* c**", "a b c"),
-]
-
-
-@query(f"SELECT id, plain FROM {values('id, md, plain', _SAMPLES)}")
+@query(f"SELECT doc_id, trim({_PLAIN}, '{_BLANKS}') AS plain FROM documents")
 def md_clean_full(spark, sf_dir):
-    return inline(spark, "id int, md string, plain string", _SAMPLES).select("id", T.markdown_to_plain("md").alias("plain"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.markdown_to_plain("text").alias("plain"))
 
 
 @query(rf"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\*\*(.*?)\*\*', '\1', 'g'), '\n{{2,}}', chr(10), 'g'), '{_BLANKS}') AS plain FROM documents WHERE contains(text, '**')")
@@ -146,20 +151,19 @@ def jsonl_parse_bad_count(spark, sf_dir):
     return both.groupBy(T.is_json("props").alias("good")).agg(F.count(F.lit(1)).alias("lines"))
 
 
-_LINES = [(1, '{"text": "甲"}', "甲"), (2, "只是文字", "只是文字"), (3, '{"other": 1}', None), (4, "[1,2", "[1,2"), (5, '{"text": ""}', "")]
-
-
-@query(f"SELECT id, text FROM {values('id, line, text', _LINES)}")
+@query("SELECT event_id, CASE event_id % 4 WHEN 1 THEN event_type WHEN 2 THEN event_type || '{' WHEN 3 THEN event_type END AS text FROM events")
 def text_or_json_fallback(spark, sf_dir):
-    return inline(spark, "id int, line string, text string", _LINES).select("id", T.text_or_json("line").alias("text"))
-
+    """Objects without the field, objects with it, lines that aren't JSON, and JSON strings."""
+    e, kind = F.col("event_id") % 4, F.col("event_type")
+    line = F.when(e == 0, F.col("props")).when(e == 1, F.concat(F.lit('{"text": "'), kind, F.lit('"}'))).when(e == 2, F.concat(kind, F.lit("{"))).otherwise(F.concat(F.lit('"'), kind, F.lit('"')))
+    return table(spark, sf_dir, "events").select("event_id", T.text_or_json(line).alias("text"))
 
-_SNIFF = [(1, '{"conversations": [{"role": "user", "content": "問"}], "text": "x"}', "問"), (2, '{"text": "文"}', "文"), (3, '{"a": 1}', "")]
 
-
-@query(f"SELECT id, text FROM {values('id, line, text', _SNIFF)}")
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN event_type ELSE 'first ' || event_type END AS text FROM events")
 def sniffed_text(spark, sf_dir):
-    return inline(spark, "id int, line string, text string", _SNIFF).select("id", T.sniffed_text("line").alias("text"))
+    e, kind = F.col("event_id") % 3, F.col("event_type")
+    line = F.when(e == 0, F.col("props")).when(e == 1, F.concat(F.lit('{"text": "'), kind, F.lit('"}'))).otherwise(F.concat(F.lit('{"conversations": [{"content": "first '), kind, F.lit('"}, {"content": "x"}], "text": "y"}')))
+    return table(spark, sf_dir, "events").select("event_id", T.sniffed_text(line).alias("text"))
 
 
 _SCRIPT = {"国": "國", "学": "學", "说": "說", "话": "話", "软": "軟", "体": "體"}
@@ -244,10 +248,16 @@ def truncate_keep_end(spark, sf_dir):
     return rows.select("doc_id", F.size("t").cast("long").alias("tokens"), (F.size("t") > 64).alias("truncated"), F.get(keep_last_tokens("t", 64), F.lit(0)).alias("first_kept"))
 
 
-@query()
+_JSON_LINE = """'{"text":' || to_json(chunk)::VARCHAR || '}'"""
+
+
+@query(
+    _CHUNKS + "SELECT doc_id, nth, line, bytes, before AS bytes_before FROM (SELECT *, CAST(coalesce(sum(bytes) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before "
+    f"FROM (SELECT doc_id, nth, {_JSON_LINE} AS line, octet_length(encode({_JSON_LINE})) + 1 AS bytes, sha256('824:' || doc_id || ':' || nth) AS o FROM g)) WHERE before < 1048576"
+)
 def corpus_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of all articles as lines of JSON, with their place in a seeded order and bytes before them."""
     docs = table(spark, sf_dir, "documents").where("text <> ''")
     chunks = docs.select("doc_id", F.posexplode(T.chunk_udf(400, 150, "。！？；.!?")(T.markdown_to_plain("text"))).alias("nth", "text"))
     line = files.json_text("text")
-    return S.byte_budget(chunks.withColumn("line", line), F.concat("line", F.lit("\n")), 1 << 20, 824, "doc_id", "nth").select("doc_id", "nth", "line", "bytes", "bytes_before")
+    return S.byte_budget(chunks.withColumn("line", line), F.concat("line", F.lit("\n")), 1 << 20, 824, "doc_id", "nth").select("doc_id", F.col("nth").cast("long").alias("nth"), "line", "bytes", "bytes_before")

@@ -48,20 +48,17 @@ def memory_dedupe_latest(spark, sf_dir):
     return R.ingest(rows).select("persona_id", "text", "pos")
 
 
-_SENTENCES = [(1, "我住在哪裡？", True), (2, "我住台南，你去過嗎？", False), (3, "我住台南。", False), (4, "really?", True), (5, "？\n", False)]
-
-
-@query(f"SELECT id, asks FROM {values('id, s, asks', _SENTENCES)}")
+@query("SELECT conv_id, turn, regexp_matches(text, '[？?]$') AND NOT regexp_matches(text, '[，,。；]') AS asks FROM conversations")
 def question_filter(spark, sf_dir):
-    return inline(spark, "id int, s string, w boolean", _SENTENCES).select("id", T.is_question("s").alias("asks"))
-
-
-_OTHERS = [(1, "我朋友住高雄", True), (2, "跟你說，我大學同學對蛋過敏", True), (3, "聽說我主管要轉職", True), (4, "我每個禮拜都跟朋友去打籃球", False), (5, "我跟我老公的女兒5歲", False), (6, "我姐姐是老師", True)]
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_question("text").alias("asks"))
 
 
-@query(f"SELECT id, other FROM {values('id, s, other', _OTHERS)}")
+@query("SELECT conv_id, turn, turn % 3 = 1 AS other FROM conversations WHERE text IS NOT NULL")
 def about_other_flag(spark, sf_dir):
-    return inline(spark, "id int, s string, w boolean", _OTHERS).select("id", R.about_other("s").alias("other"))
+    """Every third turn is told of a friend; the others are one's own, though some name a friend later on."""
+    turn = F.col("turn") % 3
+    said = F.when(turn == 1, F.concat(F.lit("聽說我朋友"), "text")).when(turn == 2, F.concat("text", F.lit("我跟朋友"))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", R.about_other(said).alias("other"))
 
 
 _TOPICS = {"city": (("住", "城市"), ("住", "家在", "台南", "嘉義")), "job": (("工作", "職業"), ("工作", "上班", "師"))}

@@ -1,10 +1,12 @@
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.operators import memory as R
 from corpusmill.operators import personas, sampling, toolcalls
 
 TEXTS = [None, "", "　", "一。二！三？" * 100, "無標點" * 300, "a" * 400, "a" * 401, "短\n\n短", "x\r\ny", "😀。" * 250]
@@ -68,3 +70,18 @@ def test_personas_hold_what_they_promise(spark):
             assert (q.options[q.answer] == personas.ABSTAIN) == (q.type == "abstain")
             for s, t in q.evidence:
                 assert q.options[q.answer] in p.sessions[s].turns[t]
+
+
+@pytest.mark.parametrize(
+    "change, rows",
+    [
+        (T.markdown_to_plain, [("# 標題\n\n**粗體**與*斜體*", "標題\n粗體與斜體"), ("***x*** a_b_c", "x abc"), ("　前後空白　", "前後空白"), ("a\r## b\n##   c", "a\r## b\nc"), ("", ""), ("😀 _底線_\n\n\n尾", "😀 底線\n尾"), ("**a *b* c**", "a b c")]),
+        (T.text_or_json, [('{"text": "甲"}', "甲"), ("只是文字", "只是文字"), ('{"other": 1}', None), ("[1,2", "[1,2"), ('{"text": ""}', "")]),
+        (T.sniffed_text, [('{"conversations": [{"role": "user", "content": "問"}], "text": "x"}', "問"), ('{"text": "文"}', "文"), ('{"a": 1}', "")]),
+        (T.is_question, [("我住在哪裡？", True), ("我住台南，你去過嗎？", False), ("我住台南。", False), ("really?", True), ("？\n", False)]),
+        (R.about_other, [("我朋友住高雄", True), ("跟你說，我大學同學對蛋過敏", True), ("聽說我主管要轉職", True), ("我每個禮拜都跟朋友去打籃球", False), ("我跟我老公的女兒5歲", False), ("我姐姐是老師", True)]),
+    ],
+)
+def test_samples(spark, change, rows):
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "id int, x string")
+    assert [r.y for r in df.select("id", change("x").alias("y")).orderBy("id").collect()] == [r[1] for r in rows]
