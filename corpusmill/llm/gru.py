@@ -37,12 +37,17 @@ def start(frequency: np.ndarray, size: int, seed: int = 3, hidden: int = HIDDEN)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + np.float32(0.5)
+    x = np.tanh(x * np.float32(0.5))
+    x *= np.float32(0.5)
+    x += np.float32(0.5)
+    return x
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _exponents(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of logits, which are written over: those less the highest of their row, their exponentials, and sums of these."""
+    x -= x.max(axis=1, keepdims=True)
+    e = np.exp(x)
+    return x, e, e.sum(axis=1)
 
 
 def _step(p: Params, inputs: np.ndarray, h: np.ndarray):
@@ -67,9 +72,12 @@ def _likelihood(p: Params, states: np.ndarray, target: np.ndarray) -> np.ndarray
     size = p["word"].shape[2]
     order, classes = _by_class(target, size)
     states, target = states[order], target[order]
-    found = _log_softmax(states @ p["class"] + p["class_bias"])[np.arange(len(target)), target // size].astype(np.float64)
+    rows, own = np.arange(len(target)), target % size
+    x, _, total = _exponents(states @ p["class"] + p["class_bias"])
+    found = (x[rows, target // size] - np.log(total)).astype(np.float64)
     for c, lo, hi in classes:
-        found[lo:hi] += _log_softmax(states[lo:hi] @ p["word"][c] + p["word_bias"][c])[np.arange(hi - lo), target[lo:hi] % size]
+        x, _, total = _exponents(states[lo:hi] @ p["word"][c] + p["word_bias"][c])
+        found[lo:hi] += x[rows[: hi - lo], own[lo:hi]] - np.log(total)
     out = np.empty(len(order))
     out[order] = found
     return out
@@ -176,23 +184,21 @@ def gradient(p: Params, before: np.ndarray, target: np.ndarray, mask: np.ndarray
     order, classes = _by_class(target.ravel()[real], size)
     real = real[order]
     flat, goal = states.reshape(-1, n)[real], target.ravel()[real]
-    count = max(1, len(real))
+    count = h.dtype.type(max(1, len(real)))
     rows = np.arange(len(real))
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    found = _log_softmax(flat @ p["class"] + p["class_bias"])
-    loss = -float(found[rows, goal // size].sum())
-    d = np.exp(found)
-    d[rows, goal // size] -= 1
-    d /= count
+    x, d, total = _exponents(flat @ p["class"] + p["class_bias"])
+    loss = -float((x[rows, goal // size] - np.log(total)).sum())
+    d /= total[:, None] * count
+    d[rows, goal // size] -= 1 / count
     g["class"], g["class_bias"] = flat.T @ d, d.sum(axis=0)
     back = d @ p["class"].T
     for c, lo, hi in classes:
         own, mine = goal[lo:hi] % size, rows[: hi - lo]
-        x = _log_softmax(flat[lo:hi] @ p["word"][c] + p["word_bias"][c])
-        loss -= float(x[mine, own].sum())
-        d = np.exp(x)
-        d[mine, own] -= 1
-        d /= count
+        x, d, total = _exponents(flat[lo:hi] @ p["word"][c] + p["word_bias"][c])
+        loss -= float((x[mine, own] - np.log(total)).sum())
+        d /= total[:, None] * count
+        d[mine, own] -= 1 / count
         g["word"][c], g["word_bias"][c] = flat[lo:hi].T @ d, d.sum(axis=0)
         back[lo:hi] += d @ p["word"][c].T
     outer = np.zeros((steps * lanes, n), h.dtype)
