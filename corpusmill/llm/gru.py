@@ -36,27 +36,57 @@ def start(frequency: np.ndarray, size: int, seed: int = 3, hidden: int = HIDDEN)
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x = np.tanh(x * np.float32(0.5))
-    x *= np.float32(0.5)
-    x += np.float32(0.5)
-    return x
+def _gates(p: Params, parts: np.ndarray) -> np.ndarray:
+    """Columns of the gates as one matrix for each gate; halved for those that become sigmoids, by way of tanh."""
+    n = p["state"].shape[0]
+    out = np.ascontiguousarray(parts.reshape(-1, 3, n).transpose(1, 0, 2))
+    out[:2] *= out.dtype.type(0.5)
+    return out
+
+
+def _step(weights: np.ndarray, inputs: np.ndarray, h: np.ndarray, zr: np.ndarray, new: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """The gates and the next state, written where they belong; weights and inputs are those of _gates(), for each lane."""
+    own = h @ weights
+    np.add(own[:2], inputs[:2], out=zr)
+    np.tanh(zr, out=zr)
+    zr *= h.dtype.type(0.5)
+    zr += h.dtype.type(0.5)
+    np.multiply(zr[1], own[2], out=new)
+    new += inputs[2]
+    np.tanh(new, out=new)
+    np.subtract(h, new, out=following)
+    following *= zr[0]
+    following += new
+    return own[2]
+
+
+#: Logits within this need no highest one subtracted before their exponentials are taken.
+SAFE = 60.0
+
+
+def _safe(p: Params, states: np.ndarray) -> bool:
+    """Whether no logit of these states can go beyond SAFE."""
+    most = float(max(states.max(initial=0), -states.min(initial=0)))
+    return all(most * float(np.abs(p[k]).sum(axis=-2).max()) + float(np.abs(p[k + "_bias"]).max()) < SAFE for k in ("class", "word"))
+
 
+def _exponents(states: np.ndarray, weight: np.ndarray, bias: np.ndarray, factor: np.ndarray, at: np.ndarray, safe: bool):
+    """The logits at flat places `at`, all exponentials e, and totals, so that chances are e * factor / total.
 
-def _exponents(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of logits, which are written over: those less the highest of their row, their exponentials, and sums of these."""
-    x -= x.max(axis=1, keepdims=True)
-    e = np.exp(x)
-    return x, e, e.sum(axis=1)
+    The bias is in the factor, and not in the logits, where that is safe.
+    """
+    x = states @ weight
+    if not safe:
+        x += bias
+        x -= x.max(axis=1, keepdims=True)
+    found = x.reshape(-1).take(at)
+    np.exp(x, out=x)
+    return found, x, x @ factor
 
 
-def _step(p: Params, inputs: np.ndarray, h: np.ndarray):
-    n = h.shape[1]
-    own = h @ p["state"]
-    zr = _sigmoid(inputs[:, : 2 * n] + own[:, : 2 * n])
-    z, r = zr[:, :n], zr[:, n:]
-    new = np.tanh(inputs[:, 2 * n :] + r * own[:, 2 * n :])
-    return new + z * (h - new), (z, r, new, own[:, 2 * n :])
+def _factors(bias: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Factors of exponentials, and their logarithms."""
+    return (np.exp(bias), bias) if safe else (np.ones_like(bias), np.zeros_like(bias))
 
 
 def _by_class(target: np.ndarray, size: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -67,22 +97,58 @@ def _by_class(target: np.ndarray, size: int) -> tuple[np.ndarray, list[tuple[int
     return order, [(c, int(cuts[c]), int(cuts[c + 1])) for c in np.flatnonzero(np.diff(cuts)).tolist()]
 
 
+#: Rows of logits that are worked on at once, so that they stay in a core's cache.
+BLOCK = 2048
+
+
+def _blocks(classes: list[tuple[int, int, int]], own: np.ndarray, size: int) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """Classes in blocks of rows, and the place of each row's own column in its block."""
+    blocks = [(c, at, min(at + BLOCK, hi)) for c, lo, hi in classes for at in range(lo, hi, BLOCK)]
+    begin = np.array([lo for _, lo, _ in blocks], np.int64)
+    return blocks, (np.arange(len(own)) - np.repeat(begin, np.diff(begin, append=len(own)))) * size + own
+
+
 def _likelihood(p: Params, states: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log P(target | state) of each pair."""
-    size = p["word"].shape[2]
-    order, classes = _by_class(target, size)
+    safe = _safe(p, states)
+    order, classes = _by_class(target, p["word"].shape[2])
     states, target = states[order], target[order]
-    rows, own = np.arange(len(target)), target % size
-    x, _, total = _exponents(states @ p["class"] + p["class_bias"])
-    found = (x[rows, target // size] - np.log(total)).astype(np.float64)
-    for c, lo, hi in classes:
-        x, _, total = _exponents(states[lo:hi] @ p["word"][c] + p["word_bias"][c])
-        found[lo:hi] += x[rows[: hi - lo], own[lo:hi]] - np.log(total)
+    kind, own = np.divmod(target, p["word"].shape[2])
+    found = np.zeros(len(order))
+    for weight, bias, groups, goal in ((p["class"][None], p["class_bias"][None], [(0, 0, len(order))], kind), (p["word"], p["word_bias"], classes, own)):
+        factor, shift = _factors(bias, safe)
+        blocks, place = _blocks(groups, goal, bias.shape[1])
+        for c, lo, hi in blocks:
+            x, _, total = _exponents(states[lo:hi], weight[c], bias[c], factor[c], place[lo:hi], safe)
+            found[lo:hi] += x + shift[c].take(goal[lo:hi]) - np.log(total)
     out = np.empty(len(order))
     out[order] = found
     return out
 
 
+def _descend(weight: np.ndarray, bias: np.ndarray, classes: list[tuple[int, int, int]], states: np.ndarray, own: np.ndarray, safe: bool, count, back: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss of rows that lie by class, and the gradients of its mean for weights and biases; that for states is added to back."""
+    factor, shift = _factors(bias, safe)
+    blocks, place = _blocks(classes, own, bias.shape[1])
+    of_weight, of_bias = np.zeros_like(weight), np.zeros_like(bias)
+    turned, less, ones = np.ascontiguousarray((weight * factor[:, None]).transpose(0, 2, 1)), 1 / (factor * count), np.ones(BLOCK, states.dtype)
+    loss = 0.0
+    for c, lo, hi in blocks:
+        rows, at, mine = states[lo:hi], place[lo:hi], own[lo:hi]
+        x, d, total = _exponents(rows, weight[c], bias[c], factor[c], at, safe)
+        loss += float(np.log(total).sum() - (x + shift[c].take(mine)).sum())
+        total *= count
+        d /= total[:, None]
+        line = d.reshape(-1)
+        line[at] = line.take(at) - less[c].take(mine)
+        of_weight[c] += rows.T @ d
+        of_bias[c] += ones[: hi - lo] @ d
+        back[lo:hi] += d @ turned[c]
+    of_weight *= factor[:, None]
+    of_bias *= factor
+    return loss, of_weight, of_bias
+
+
 def seats(length: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
     """(lane, step at which it begins) of each text: every text goes to the lane that is free first, longest first.
 
@@ -108,35 +174,35 @@ class Loom:
         length = np.diff(of)
         self.text = np.flatnonzero(length > 0)
         lane, begin = seats(length[self.text], lanes)
-        self.words, self.of = words, of
         # texts in order of lane and step
         order = np.lexsort((begin, lane))
         self.text, lane, begin = self.text[order], lane[order], begin[order]
-        self.lane_cut = np.searchsorted(lane, np.arange(int(lane.max(initial=-1)) + 2))
-        self.begin, self.end = begin, begin + length[self.text]
-        self.last = self.end[self.lane_cut[1:] - 1] if len(lane) else np.zeros(0, np.int64)
-        self.cursor = self.lane_cut[:-1].copy()
+        cut = np.searchsorted(lane, np.arange(int(lane.max(initial=-1)) + 2))
+        end = begin + length[self.text]
+        self.last = end[cut[1:] - 1] if len(lane) else np.zeros(0, np.int64)
         self.steps = int(self.last.max(initial=0))
+        # a word's place less its step, and the texts in order of the steps at which they begin
+        self.ahead = of[:-1][self.text] - begin
+        coming = np.argsort(begin, kind="stable")
+        self.coming, self.coming_lane = begin[coming], lane[coming]
+        self.cursor = cut[:-1] - 1
 
     def window(self, at: int, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place of each word, whether a text begins there, text) as steps x live lanes; place -1 after a lane's end."""
+        """(place of each word, whether a text begins there, text) as steps x live lanes; place -1 after a lane's end.
+
+        Windows are read in turn.
+        """
         live = int(np.searchsorted(-self.last, -at, "left"))
-        place, first, text = np.full((steps, live), -1, np.int64), np.zeros((steps, live), bool), np.zeros((steps, live), np.int64)
-        for k in range(live):
-            i = int(self.cursor[k])
-            while i < self.lane_cut[k + 1] and self.begin[i] < at + steps:
-                lo, hi = max(at, int(self.begin[i])), min(at + steps, int(self.end[i]))
-                t = int(self.text[i])
-                start = int(self.of[t]) + lo - int(self.begin[i])
-                place[lo - at : hi - at, k] = np.arange(start, start + hi - lo)
-                text[lo - at : hi - at, k] = t
-                if lo == self.begin[i]:
-                    first[lo - at, k] = True
-                if self.end[i] > at + steps:
-                    break
-                i += 1
-            self.cursor[k] = i
-        return place, first, text
+        lo, hi = np.searchsorted(self.coming, [at, at + steps])
+        first = np.zeros((steps, live), bool)
+        first[self.coming[lo:hi] - at, self.coming_lane[lo:hi]] = True
+        which = self.cursor[:live] + np.cumsum(first, axis=0)
+        self.cursor[:live] = which[-1]
+        step = np.arange(at, at + steps)[:, None]
+        place = self.ahead[which] + step
+        if at + steps > self.last[:live].min(initial=at + steps):
+            place[step >= self.last[:live]] = -1
+        return place, first, self.text[which]
 
 
 def score(p: Params, words: np.ndarray, of: np.ndarray, first: int, window: int = WINDOW * 2, lanes: int = 4 * LANES) -> np.ndarray:
@@ -144,18 +210,20 @@ def score(p: Params, words: np.ndarray, of: np.ndarray, first: int, window: int
     loom = Loom(words, of, lanes)
     total = np.zeros(len(of) - 1)
     h = np.zeros((len(loom.last), p["state"].shape[0]), p["state"].dtype)
-    table = p["gates"] + p["bias"]
+    table, weights = _gates(p, p["gates"] + p["bias"]), _gates(p, p["state"])
     for at in range(0, loom.steps, window):
         steps = min(window, loom.steps - at)
         place, begins, text = loom.window(at, steps)
         h = h[: place.shape[1]]
         before = np.where(begins, first, words[place - 1])
         reset = begins.any(axis=1)
-        states = np.empty((steps, *h.shape), h.dtype)
+        states, zr, new = np.empty((steps, *h.shape), h.dtype), np.empty((2, *h.shape), h.dtype), np.empty_like(h)
         for t in range(steps):
             if reset[t]:
-                h = np.where(begins[t][:, None], 0, h)
-            h = states[t] = _step(p, table[before[t]], h)[0]
+                h = h.copy()
+                h[begins[t]] = 0
+            _step(weights, table.take(before[t], axis=1), h, zr, new, states[t])
+            h = states[t]
         real = place >= 0
         found = _likelihood(p, states[real], words[place[real]].astype(np.int64))
         total += np.bincount(text[real], weights=found, minlength=len(total))
@@ -169,77 +237,80 @@ def gradient(p: Params, before: np.ndarray, target: np.ndarray, mask: np.ndarray
     """
     steps, lanes = before.shape
     n, size = h.shape[1], p["word"].shape[2]
-    inputs = p["gates"][before] + p["bias"]
-    keep = None if begins is None else (~begins)[:, :, None].astype(h.dtype)
-    states, tape = np.empty((steps, lanes, n), h.dtype), []
+    weights, inputs = _gates(p, p["state"]), _gates(p, p["gates"] + p["bias"]).take(before, axis=1)
+    starts = np.zeros(steps, bool) if begins is None else begins.any(axis=1)
+    whole = mask.all(axis=1)
+    lasts, states, z, r, new, own = gates = np.empty((6, steps, lanes, n), h.dtype)
     for t in range(steps):
-        last = h if keep is None else h * keep[t]
-        h, parts = _step(p, inputs[t], last)
-        if not mask[t].all():
-            h = np.where(mask[t][:, None], h, last)
-        tape.append((last, parts))
-        states[t] = h
+        lasts[t] = h
+        if starts[t]:
+            lasts[t][begins[t]] = 0
+        own[t] = _step(weights, inputs[:, t], lasts[t], gates[2:4, t], new[t], states[t])
+        if not whole[t]:
+            np.copyto(states[t], lasts[t], where=~mask[t][:, None])
+        h = states[t]
     # output layer, class by class
     real = np.flatnonzero(mask.ravel())
     order, classes = _by_class(target.ravel()[real], size)
     real = real[order]
     flat, goal = states.reshape(-1, n)[real], target.ravel()[real]
+    kind, mine = np.divmod(goal, size)
+    safe = _safe(p, flat)
     count = h.dtype.type(max(1, len(real)))
-    rows = np.arange(len(real))
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    x, d, total = _exponents(flat @ p["class"] + p["class_bias"])
-    loss = -float((x[rows, goal // size] - np.log(total)).sum())
-    d /= total[:, None] * count
-    d[rows, goal // size] -= 1 / count
-    g["class"], g["class_bias"] = flat.T @ d, d.sum(axis=0)
-    back = d @ p["class"].T
-    for c, lo, hi in classes:
-        own, mine = goal[lo:hi] % size, rows[: hi - lo]
-        x, d, total = _exponents(flat[lo:hi] @ p["word"][c] + p["word_bias"][c])
-        loss -= float((x[mine, own] - np.log(total)).sum())
-        d /= total[:, None] * count
-        d[mine, own] -= 1 / count
-        g["word"][c], g["word_bias"][c] = flat[lo:hi].T @ d, d.sum(axis=0)
-        back[lo:hi] += d @ p["word"][c].T
+    g, back = {"gates": np.zeros_like(p["gates"]), "state": np.zeros_like(p["state"])}, np.zeros_like(flat)
+    loss, of_class, of_bias = _descend(p["class"][None], p["class_bias"][None], [(0, 0, len(real))], flat, kind, safe, count, back)
+    g["class"], g["class_bias"] = of_class[0], of_bias[0]
+    of_words, g["word"], g["word_bias"] = _descend(p["word"], p["word_bias"], classes, flat, mine, safe, count, back)
+    loss += of_words
     outer = np.zeros((steps * lanes, n), h.dtype)
     outer[real] = back
     outer = outer.reshape(steps, lanes, n)
+    # what a state's gradient is multiplied by on its way to the gates; after a lane's end it only passes through
+    to_z = lasts - new
+    to_z *= z
+    to_z *= 1 - z
+    new *= new
+    to_new = 1 - z
+    to_new *= np.subtract(1, new, out=new)
+    to_r = own
+    to_r *= r
+    to_r *= 1 - r
+    if not whole.all():
+        to_new[~mask], to_z[~mask], z[~mask] = 0, 0, 1
     # through time, to the window's start
     later = np.zeros_like(h)
-    given, turned = np.empty((steps, lanes, 3 * n), h.dtype), p["state"].T
+    given, turned = np.empty((steps, lanes, 3 * n), h.dtype), np.ascontiguousarray(p["state"].T)
     for t in range(steps - 1, -1, -1):
-        last, (z, r, new, own) = tape[t]
-        dh = later + outer[t]
-        live = dh if mask[t].all() else np.where(mask[t][:, None], dh, 0)
-        held = live * z
-        dn = (live - held) * (1 - new * new)
-        dr = dn * own * r * (1 - r)
-        given[t, :, :n] = live * (last - new) * z * (1 - z)
-        given[t, :, n : 2 * n] = dr
-        given[t, :, 2 * n :] = dn
+        later += outer[t]
+        of_z, of_r, of_new = (given[t, :, k : k + n] for k in (0, n, 2 * n))
+        np.multiply(later, to_z[t], out=of_z)
+        np.multiply(later, to_new[t], out=of_new)
+        np.multiply(of_new, to_r[t], out=of_r)
         pre = given[t].copy()
-        pre[:, 2 * n :] *= r
-        g["state"] += last.T @ pre
-        following = held + pre @ turned
-        later = following if live is dh else np.where(mask[t][:, None], following, dh)
-        if keep is not None:
-            later = later * keep[t]
+        pre[:, 2 * n :] *= r[t]
+        g["state"] += lasts[t].T @ pre
+        later *= z[t]
+        later += pre @ turned
+        if starts[t]:
+            later[begins[t]] = 0
     given = given.reshape(-1, 3 * n)
-    g["bias"] = given.sum(axis=0)
+    g["bias"] = np.ones(len(given), h.dtype) @ given
     # sums by word
     seen = before.ravel()
     order = np.argsort(seen.astype(np.uint16) if len(p["gates"]) <= 1 << 16 else seen, kind="stable")
     seen = seen[order]
     cut = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
-    g["gates"][seen[cut]] = np.add.reduceat(given[order], cut, axis=0)
+    g["gates"][seen[cut]] = np.add.reduceat(given.take(order, axis=0), cut, axis=0)
     return loss / count, g, h
 
 
 def train(p: Params, words: np.ndarray, of: np.ndarray, first: int, rate: float = 0.01, lanes: int = LANES, window: int = WINDOW) -> Params:
     """Adam over windows of texts side by side, one pass; gradients end where a window begins, states don't."""
-    p = {k: v.copy() for k, v in p.items()}
-    mean = {k: np.zeros_like(v) for k, v in p.items()}
-    square = {k: np.zeros_like(v) for k, v in p.items()}
+    # all parameters lie in one vector
+    names, ends = list(p), np.cumsum([v.size for v in p.values()])
+    flat = np.concatenate([v.ravel() for v in p.values()])
+    p = {k: flat[end - v.size : end].reshape(v.shape) for (k, v), end in zip(p.items(), ends)}
+    mean, square, way = (np.zeros_like(flat) for _ in range(3))
     loom = Loom(words, of, lanes)
     h = np.zeros((len(loom.last), p["state"].shape[0]), p["state"].dtype)
     for done, at in enumerate(range(0, loom.steps, window), 1):
@@ -248,15 +319,24 @@ def train(p: Params, words: np.ndarray, of: np.ndarray, first: int, rate: float
         before, goal = np.where(begins, first, words[place - 1]).astype(np.int64), np.where(real, words[place], 0).astype(np.int64)
         before[~real] = first
         _, g, h = gradient(p, before, goal, real, h[: place.shape[1]], begins)
-        norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-        shrink = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
+        v = np.concatenate([g[k].ravel() for k in names])
+        norm = np.sqrt(float(v @ v))
+        v *= np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
         up, down = np.float32(rate / (1 - 0.9**done)), np.float32(1 / (1 - 0.99**done))
-        for name, v in g.items():
-            v *= shrink
-            mean[name] += np.float32(0.1) * (v - mean[name])
-            square[name] += np.float32(0.01) * (v * v - square[name])
-            p[name] -= up * mean[name] / (np.sqrt(square[name] * down) + np.float32(1e-8))
-    return p
+        np.subtract(v, mean, out=way)
+        way *= np.float32(0.1)
+        mean += way
+        v *= v
+        v -= square
+        v *= np.float32(0.01)
+        square += v
+        np.multiply(square, down, out=way)
+        np.sqrt(way, out=way)
+        way += np.float32(1e-8)
+        np.divide(mean, way, out=way)
+        way *= up
+        flat -= way
+    return {k: v.copy() for k, v in p.items()}
 
 
 def pack(p: Params) -> bytes:

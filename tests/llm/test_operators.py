@@ -4,9 +4,12 @@ import hashlib
 import math
 import os
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -255,6 +258,80 @@ def test_gradients_and_carried_state():
     assert abs(np.exp(gru._likelihood(p, state, np.arange(24))).sum() - 1) < 1e-6
 
 
+def test_network_where_logits_are_high_and_lanes_end():
+    rng = np.random.default_rng(6)
+    p = {k: v.astype(np.float64) for k, v in gru.start(rng.random(24) * 10, 6, hidden=5).items()}
+    texts, of = rng.integers(0, 24, 300), np.array([0, 100, 100, 130, 300])
+    for far in (1, 300):
+        far = {k: v * (far if "bias" not in k and k in ("class", "word") else 1) for k, v in p.items()}
+        assert np.allclose(gru.score(far, texts, of, 0, lanes=3, window=7), direct(far, texts, of))
+        found = gru.score({k: v.astype(np.float32) for k, v in far.items()}, texts, of, 0)
+        assert np.allclose(found, direct(far, texts, of), rtol=1e-3)
+    # the loss of windows in turn is that of the texts, whether exponentials are safe or not
+    for far in (p, {k: v * 300 if k == "word" else v for k, v in p.items()}):
+        assert gru._safe(far, np.ones((1, 5))) == (far is p)
+        loom, h, loss = gru.Loom(texts, of, 3), np.zeros((3, 5)), 0.0
+        for at in range(0, loom.steps, 7):
+            place, begins, _ = loom.window(at, min(7, loom.steps - at))
+            real = place >= 0
+            mean, _, h = gru.gradient(far, np.where(begins, 0, texts[place - 1]), texts[place], real, h[: place.shape[1]], begins)
+            loss += mean * real.sum()
+        assert np.isclose(-loss, direct(far, texts, of).sum())
+    # every word is in one window of its own text
+    words, of = np.arange(70), np.array([0, 10, 10, 11, 40, 65, 70])
+    loom, met = gru.Loom(words, of, 2), []
+    for at in range(0, loom.steps, 4):
+        place, begins, text = loom.window(at, min(4, loom.steps - at))
+        real = place >= 0
+        assert (begins[real] == np.isin(place[real], of[:-1])).all() and (text[real] == np.searchsorted(of, place[real], "right") - 1).all()
+        met += place[real].tolist()
+    assert sorted(met) == words.tolist()
+
+
+#: CPU time of a word in training and in scoring, as multiples of that of the matrix products and exponentials it needs.
+COSTS = """
+import time
+import numpy as np
+from corpusmill.llm import gru
+
+rng = np.random.default_rng(5)
+p = gru.start(1e6 / (1 + np.arange(2048.0)), 64)
+of = np.concatenate([[0], np.cumsum(rng.integers(1, 400, 700))])
+words = np.minimum(rng.zipf(1.3, of[-1]) - 1, 2047).astype("<u2")
+h, states = (rng.standard_normal((n, 16)).astype(np.float32) for n in (256, 2048))
+w, u = np.ones((16, 96), np.float32), np.ones((16, 48), np.float32)
+
+def products(back):
+    for _ in range(160):
+        h @ u
+    for _ in range(20):
+        x = states @ w
+        np.exp(x, out=x)
+        if back:
+            states.T @ x
+            x @ w.T
+
+def cost(work, *given):
+    t = time.process_time()
+    work(*given)
+    return time.process_time() - t
+
+train, score = [], []
+for _ in range(7):
+    train.append(cost(gru.train, p, words, of, 0) / cost(products, True))
+    score.append(cost(gru.score, p, words, of, 0) / cost(products, False))
+print(*(sorted(k)[3] / of[-1] * 20 * 2048 for k in (train, score)))
+"""
+
+
+def test_network_costs_little_more_than_its_products():
+    root = str(Path(gru.__file__).parents[2])
+    threads = {"OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1"}
+    train, score = map(float, subprocess.run([sys.executable, "-c", COSTS], cwd=root, env=os.environ | threads, capture_output=True, text=True, check=True, timeout=300).stdout.split())
+    # 9.4 and 10.0 with the highest logit of every row looked for, and lanes read one by one
+    assert score < 6 and train + score < 14, (train, score)
+
+
 def test_toxicity_is_exact_and_learns(spark):
     bad = ["vileword", "nastyterm", "grimslur"]
     rows, y = [], []
