@@ -5,7 +5,7 @@ import pytest
 
 from corpusmill.plans import catalogue
 
-QUERIES = ["recent_context_300"]
+QUERIES = ["recent_context_300", "memory_predictions"]
 
 
 @pytest.fixture(scope="module")
