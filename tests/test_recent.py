@@ -5,7 +5,7 @@ import pytest
 
 from corpusmill.plans import catalogue
 
-QUERIES = ["recent_context_300", "memory_predictions", "memory_prompt"]
+QUERIES = ["recent_context_300", "memory_predictions", "memory_prompt", "run_folder"]
 
 
 @pytest.fixture(scope="module")
