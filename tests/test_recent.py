@@ -5,7 +5,7 @@ import pytest
 
 from corpusmill.plans import catalogue
 
-QUERIES = ["recent_context_300", "memory_predictions", "memory_prompt", "run_folder"]
+QUERIES = ["recent_context_300", "memory_predictions", "memory_prompt", "run_folder", "sft_reading_rows"]
 
 
 @pytest.fixture(scope="module")
