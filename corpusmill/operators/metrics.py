@@ -15,6 +15,12 @@ def ratio(x: Column | str, y: Column | str) -> Column:
     return F.coalesce(F.try_divide(F.col(x).cast("double") if isinstance(x, str) else x.cast("double"), F.col(y).cast("double") if isinstance(y, str) else y.cast("double")), F.lit(0.0))
 
 
+def rounded(c: Column | str, digits: int) -> Column:
+    """A share rounded as SQL's round() has it for doubles, scaled up and down again: 0.00015 is 0.0001 to four digits."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.floor(c * 10.0**digits + 0.5) / 10.0**digits
+
+
 def argmax_letter(scores: Column | str, letters: tuple[str, ...] = LETTERS) -> Column:
     """The letter of the highest score; of equal scores the first."""
     return F.element_at(F.array(*map(F.lit, letters)), F.array_position(scores, F.array_max(scores)).cast("int"))

@@ -185,7 +185,7 @@ def prediction_checksum(spark, sf_dir):
 @query("WITH " + _PREDICTED + "SELECT lpad(type, 14, ' ') || lpad(CAST(count(*) AS VARCHAR), 14, ' ') || lpad(format('{:.4f}', round(avg(CAST(pred = answer AS INT)), 4)), 14, ' ') AS line FROM p GROUP BY type")
 def aligned_report(spark, sf_dir):
     rows = M.type_accuracy(_predictions(spark, sf_dir), "type", F.col("correct"))
-    return files.aligned(rows.withColumn("accuracy", F.round("accuracy", 4)), "type", "n", "accuracy")
+    return files.aligned(rows.withColumn("accuracy", M.rounded("accuracy", 4)), "type", "n", "accuracy")
 
 
 @query("SELECT count(*) AS lines FROM documents WHERE text <> ''")

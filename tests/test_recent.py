@@ -2,10 +2,12 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from corpusmill.operators import metrics
 from corpusmill.plans import catalogue
 
-QUERIES = ["recent_context_300", "memory_predictions", "memory_prompt", "run_folder", "sft_reading_rows"]
+QUERIES = ["recent_context_300", "aligned_report", "memory_predictions", "memory_prompt", "run_folder", "sft_reading_rows"]
 
 
 @pytest.fixture(scope="module")
@@ -25,3 +27,8 @@ def test_lines_at_the_edge(spark, edge, name):
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{edge}/conversations.parquet/*.parquet'")
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalogue.ORACLE_SQL[name]})").fetchall()
     assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_shares_round_as_in_sql(spark):
+    got = [r.x for r in spark.range(801).orderBy("id").select(metrics.rounded(F.col("id") / 800, 4).alias("x")).collect()]
+    assert got == [x for (x,) in duckdb.sql("SELECT round(i / 800::DOUBLE, 4) FROM range(801) AS t(i) ORDER BY i").fetchall()]
