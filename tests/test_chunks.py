@@ -21,7 +21,7 @@ def odd(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["corpus_jsonl"])
+@pytest.mark.parametrize("name", ["corpus_chunk_stats", "corpus_jsonl"])
 def test_chunk_queries(spark, odd, name, capsys):
     df = catalogue.QUERIES[name](spark, odd)
     con = duckdb.connect()
